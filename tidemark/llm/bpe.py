@@ -229,12 +229,12 @@ def vocabulary(spark: SparkSession, path: str):
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
     """One row for each row: id, ``n_tokens``, digests of ids and decoded text, and on request both themselves.
 
-    Row by row, without a shuffle.  ``ids`` is an array of long, ``decoded`` the
+    Row by row, without a shuffle.  ``ids`` is an array of int, ``decoded`` the
     decoder's text.
     """
     spec = vocabulary(docs.sparkSession, path)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids + ", decoded string" * keep_decoded
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_decoded
 
     def run(batches):
         coder = loaded(WordBpe, spec.value)
@@ -247,12 +247,12 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 ids_hash.append(hashlib.sha256(packed).hexdigest())
                 text_hash.append(hashlib.sha256(out.encode()).hexdigest())
                 if keep_ids:
-                    ids.append(array("I", packed))
+                    ids.append(array("i", packed))
                 if keep_decoded:
                     decoded.append(out)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             if keep_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int64())))
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
             if keep_decoded:
                 columns.append(pa.array(decoded, pa.string()))
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids + ["decoded"] * keep_decoded

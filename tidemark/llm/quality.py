@@ -137,3 +137,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows, with all their columns, whose text scores ``threshold`` or more; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+
+    def run(batches):
+        own = Model(*sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(x.as_py()) >= threshold for x in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -367,3 +367,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     results = cut_texts(docs, text_col, k, keep_text)
     ids = docs.select(F.col(id_col), text_key(F.col(text_col)).alias("key"))
     return ids.join(results, "key").drop("key")
+
+
+def replace_texts(docs: DataFrame, text_col: str = "text", length_col: str | None = None, k: int = 35) -> DataFrame:
+    """The documents, with all their columns, with repeated spans cut from the text; ``length_col`` gets its new length."""
+    results = cut_texts(docs, text_col, k).select(F.col("key").alias("_cut_key"), F.col("kept").alias("_cut_text"))
+    rest = docs.withColumn("_cut_key", text_key(F.col(text_col))).drop(text_col)
+    joined = rest.join(results, "_cut_key")
+    new = {text_col: F.col("_cut_text")} | ({length_col: F.length("_cut_text").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
+    return joined.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
