@@ -171,6 +171,20 @@ class Chunks(Remembered):
         return b"".join([self[x] for x in words])
 
 
+def rare(text: str) -> bool:
+    """Whether a text may hold characters that this Python's Unicode tables lack; then the library's own classes are asked."""
+    return not text.isascii() and not text.replace("\n", " ").isprintable()
+
+
+def library_split(pattern: str):
+    """Pieces of a text that match ``pattern``, by the classes of the tokenizers library."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    split = Split(Regex(pattern), "removed", invert=True)
+    return lambda text: [piece for piece, _ in split.pre_tokenize_str(text)]
+
+
 class WordBpe:
     """The word-end tokenizer: NFC, white space to one space, lower case, pieces with a word-end mark."""
 
@@ -182,6 +196,13 @@ class WordBpe:
         self.chunks = Chunks(self.bpe, self.PATTERN.replace(r"\s", SPACES))
         self.space = regex.compile(f"[{SPACES}]+")
 
+    def rare_words(self, text: str) -> list[str]:
+        from tokenizers import normalizers
+
+        if not hasattr(self, "library"):
+            self.library = library_split(self.PATTERN)
+        return self.library(normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text))
+
     def normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
@@ -197,6 +218,8 @@ class WordBpe:
             special = self.bpe.special.get(part)
             if special is not None:
                 out.append(array("I", [special]).tobytes())
+            elif rare(part):
+                out.extend(array("I", self.bpe.merge(w.encode())).tobytes() for w in self.rare_words(part))
             else:
                 part = self.normal(part)
                 # split() also breaks at U+001C to U+001F, which are no white space here.

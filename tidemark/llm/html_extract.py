@@ -46,6 +46,7 @@ ARTICLE = frozenset("article main".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+)|(<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -62,8 +63,11 @@ def _noise(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".replace("_", " ").lower()
-    return any(w in NOISE for w in _PART.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names)))
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    # A wrapper that says what it has beside the text (has-sidebar) is not that thing itself.
+    own = " ".join(n for n in names if not n.lower().startswith(("has-", "with-", "no-", "without-")))
+    words = _PART.split(_CAMEL.sub(" ", own).lower())
+    return any(w in NOISE and not (in_article and w in ("header", "masthead")) for w in words)
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:

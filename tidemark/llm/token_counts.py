@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Bpe, loaded, vocabulary
+from tidemark.llm.bpe import SPACES, Bpe, byte_characters, library_split, loaded, rare, vocabulary
 
 #: Documents and distinct pre-tokens after which a run ends.
 RUN, DISTINCT = 1 << 16, 250_000
@@ -45,10 +45,9 @@ class PreTokens:
     """Pre-tokens of a byte-level tokenizer, and those that are one piece."""
 
     def __init__(self, spec: str):
-        from tidemark.llm.bpe import SPACES, byte_characters
-
         self.bpe = Bpe(spec)
-        self.find = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACES}").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")).findall
+        self.plain = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACES}").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")).findall
+        self.library = library_split(PATTERN)
         back = {c: b for b, c in enumerate(byte_characters())}
         self.single = set()
         for name in self.bpe.vocab:
@@ -59,6 +58,9 @@ class PreTokens:
                 except UnicodeDecodeError:
                     pass
 
+    def find(self, text: str) -> list[str]:
+        return self.library(text) if rare(text) else self.plain(text)
+
     def of(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens, and the number of special tokens between them."""
         if self.bpe.split and "<|" in text:
