@@ -130,6 +130,7 @@ def near_copies(seed, n=150, group=40):
 def test_ngram_join_loses_no_link(spark, monkeypatch, seed, small, block):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BUCKET", block)
     texts = near_copies(seed)
     links = jaccard_links(texts)
     count = Counter(x for pair in links for x in pair)

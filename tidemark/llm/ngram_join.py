@@ -33,8 +33,10 @@ from tidemark.llm.components import components, forest
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.words import mix, shingles
 
-#: Bytes of a sketch; classes of a bucket that is not split again; classes and shingles in a block.
-BINS, SMALL, BLOCK, BLOCK_SHINGLES = 128, 64, 512, 400_000
+#: Bytes of a sketch; classes of a bucket that is not split again; sketches in a block (1 MB of them).
+BINS, SMALL, BUCKET = 128, 64, 8192
+#: Classes and shingles in a block of the exact comparison.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 #: Sketches that agree in less than this share below the threshold are not looked at: 5 standard deviations.
 SLACK = 0.18
 COLUMNS = 8192
@@ -267,13 +269,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small, large = met(nodes.select("node", F.explode("paths").alias("path")), SMALL)
     small, large = scratch.table(small), scratch.table(large)
     split = large.join(nodes.select("node", F.explode(F.arrays_zip("deep", "parents")).alias("d")).select("node", F.col("d.deep").alias("to"), F.col("d.parents").alias("path")), ["node", "path"]).select("node", F.col("to").alias("path"))
-    deeper, huge = met(split, BLOCK)
+    deeper, huge = met(split, BUCKET)
     deeper, huge = scratch.table(deeper), scratch.table(huge)
 
     # Equal buckets are compared once.
     lists = small.unionByName(deeper).groupBy(F.xxhash64("members").alias("path"), "members").count().select("path", "members", F.explode("members").alias("node"))
     lists = lists.select(F.xxhash64("members", F.lit("list")).alias("path"), F.hash("members").alias("one"), F.size("members").alias("two"), "node")
-    counts = huge.groupBy("path").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    counts = huge.groupBy("path").agg(F.ceil(F.count("*") / BUCKET).alias("blocks"))
     blocks = block_pairs(huge.join(counts, "path"), "path", "blocks").select("path", "one", "two", "node")
     compared = lists.unionByName(blocks).join(nodes.select("node", "sketch"), "node").select("path", "one", "two", "node", "sketch")
     edges = compared.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two", "node").mapInArrow(_edges(threshold - SLACK), "a long, b long")
