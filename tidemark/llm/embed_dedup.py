@@ -122,6 +122,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     blocks = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     tasks = block_pairs(placed.join(blocks, ["label", "cell"]), "cell", "blocks").select("label", "cell", "one", "two", "node", "copies", "home", "own", "vector")
     linked = scratch.table(tasks.repartition("label", "cell", "one", "two").sortWithinPartitions("label", "cell", "one", "two", "node").mapInArrow(_links(cosine), "node long, other long, links long"))
+    scratch.drop(placed)
     links = linked.filter(F.col("other").isNull()).groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(linked.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
 

@@ -302,6 +302,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sent = texts.select("node", "copies", "component", "own", "tasks", "text", "set").mapInArrow(again, "component long, one int, two int, node long, copies long, own int, shingles binary")
     linked = scratch.table(sent.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", "node").mapInArrow(_links(threshold), "node long, other long, links long"))
+    scratch.drop(nodes, small, large, deeper, huge, clusters)
     links = linked.filter(F.col("other").isNull()).groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(linked.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
 

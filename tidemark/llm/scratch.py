@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one job."""
+    """Tables of one job; those that a lazy result reads stay in the folder until it is cleared."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_folder(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
