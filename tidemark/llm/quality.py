@@ -24,7 +24,7 @@ from tidemark.llm.words import BASE, WHITE, mix, word_hashes
 BUCKETS, DIM = 1 << 17, 8
 GRAMS = (3, 4, 5)
 BLOCK = 1 << 20
-#: Bytes at the edges of a word: white space ends it and begins the next.
+#: Added to a hash so that features of different kinds differ.
 KINDS = {"word": np.uint64(0x51), "pair": np.uint64(0x52), "same": np.uint64(0x53)}
 
 
