@@ -255,3 +255,35 @@ def test_tree_and_stateless_plans(spark):
     joined = mapped.join(s, d=lambda l, r: l.v)
     plan = joined.df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_sink_macros_calls_and_partitioning(spark, tmp_path):
+    from tidemark.sources import write_intervals
+
+    s = stream(spark, [(0, 0, 2, 1), (1, 0, 4, 3)])
+    write_intervals(s, f"{tmp_path}/out", partition_by=["k"])
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("k", "st", "et", "v").collect())) == got(s)
+
+    @F.pandas_udf("long")
+    def twice(v):
+        return v * 2
+
+    def doubled(x, by):
+        return x.call("w", twice, "v").select(w=lambda e: e.w + by)
+
+    assert got(s.apply(doubled, 1)) == [(0, 0, 2, 3), (1, 0, 4, 7)]
+    dealt = s.partitioned()
+    plan = dealt.running(n=F.sum("v")).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and got(dealt) == got(s)
+    assert s.window(2).agg(n=F.count("*")).tree().splitlines()[1].strip().startswith("window(")
+
+
+def test_lookups_into_the_future_are_refused(spark):
+    s = stream(spark, [(0, 0, 2, 1)])
+    with pytest.raises(ValueError, match="offset"):
+        s.align(lambda a, b: a.present, {"v": lambda a, b: a.v}, s, offsets=(0, 1))
+
+
+def test_hopping_windows_by_end_are_refused(spark):
+    with pytest.raises(ValueError, match="tumble"):
+        stream(spark, [(0, 0, 2, 1)]).window(4, 2, by="end")
