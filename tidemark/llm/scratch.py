@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of this machine is set only where there is none and no cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from tidemark.streaming.run import shared_folder
 
 
 class Scratch:
