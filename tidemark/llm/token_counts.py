@@ -35,6 +35,8 @@ from tidemark.llm.bpe import SPACES, Bpe, byte_characters, library_split, loaded
 
 #: Documents and distinct pre-tokens after which a run ends.
 RUN, DISTINCT = 1 << 16, 250_000
+#: Sums that a task holds before it adds them up or hands them on.
+HELD = 4_000_000
 #: A posting is position << SHIFT | frequency.
 SHIFT, MOST = 12, (1 << 12) - 1
 #: The byte-level tokenizer's own pattern, a fixed value.
@@ -131,38 +133,57 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def count(batches):
         tool = loaded(PreTokens, spec.value)
         last, pieces = None, 0
-        sums: dict[int, np.ndarray] = {}
-        held = 0
+        slots: dict[int, int] = {}  # of runs
+        places, sums, held = [], [], 0
+
+        def added():
+            """The sums so far by place, which is the run's slot and the document's position."""
+            place, value = np.concatenate(places), np.concatenate(sums)
+            order = np.argsort(place, kind="stable")
+            place, value = place[order], value[order]
+            first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            return place[first], np.add.reduceat(value, first)
 
         def flush():
-            nonlocal sums, held
-            for run, values in sums.items():
-                at = np.flatnonzero(values).astype("<u4")
-                yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([run], pa.int64()), pa.array([struct.pack("<I", len(at)) + at.tobytes() + values[at].astype("<u4").tobytes()], pa.binary())], schema=arrow)
-            sums, held = {}, 0
+            place, value = added()
+            runs = {slot: run for run, slot in slots.items()}
+            cut = np.flatnonzero(np.r_[True, (place[1:] >> 32) != (place[:-1] >> 32)])
+            for i, j in zip(cut, [*cut[1:], len(place)], strict=True):
+                at = (place[i:j] & 0xFFFFFFFF).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([runs[int(place[i] >> 32)]], pa.int64()), pa.array([struct.pack("<I", len(at)) + at.tobytes() + value[i:j].astype("<u4").tobytes()], pa.binary())], schema=arrow)
 
         for batch in batches:
-            for key, run, payload in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                key, run, payload = key.as_py(), run.as_py(), payload.as_py()
-                if key.startswith("\0") and key == f"\0{run}":
-                    yield pa.RecordBatch.from_arrays([pa.array(["\0"], pa.string()), pa.array([run], pa.int64()), pa.array([payload], pa.binary())], schema=arrow)
+            keys = batch.column(0).to_pylist()
+            own = np.array([k[:1] == "\0" and k == f"\0{run}" for k, run in zip(keys, batch.column(1).to_pylist(), strict=True)])
+            if own.any():
+                heads = batch.filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([pa.array(["\0"] * heads.num_rows, pa.string()), heads.column(1), heads.column(2)], schema=arrow)
+                batch = batch.filter(pa.array(~own))
+                keys = [k for k, x in zip(keys, own, strict=True) if not x]
+                if not keys:
                     continue
+            counts = []
+            for key in keys:
                 if key != last:
                     last, pieces = key, len(tool.bpe.merge(key.encode()))
-                posting = np.frombuffer(payload, "<u4")
-                at, n = posting >> SHIFT, (posting & MOST).astype(np.int64) * pieces
-                own = sums.get(run)
-                if own is None or len(own) <= at[-1]:
-                    grown = np.zeros(max(1024, 1 << int(at[-1]).bit_length()), np.int64)
-                    if own is not None:
-                        grown[: len(own)] = own
-                        held -= len(own)
-                    own = sums[run] = grown
-                    held += len(own)
-                np.add.at(own, at, n)
-                if held > 4_000_000:
+                counts.append(pieces)
+            payload = batch.column(2)
+            _, offsets, data = payload.buffers()
+            bounds = np.frombuffer(offsets, np.int32)[payload.offset : payload.offset + len(payload) + 1]
+            posting = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view("<u4").astype(np.int64)
+            each = np.diff(bounds) // 4
+            slot = np.array([slots.setdefault(run, len(slots)) for run in batch.column(1).to_pylist()], np.int64)
+            places.append(np.repeat(slot, each) << 32 | posting >> SHIFT)
+            sums.append((posting & MOST) * np.repeat(np.array(counts, np.int64), each))
+            held += len(posting)
+            if held > HELD:
+                place, value = added()
+                places, sums, held = [place], [value], len(place)
+                if held > HELD // 2:
                     yield from flush()
-        yield from flush()
+                    slots, places, sums, held = {}, [], [], 0
+        if held:
+            yield from flush()
 
     def total(batches):
         run, head, sums = None, None, None
