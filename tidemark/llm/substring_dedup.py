@@ -43,6 +43,8 @@ STRETCH = 256
 SHARD = 2000
 
 WHOLE, ASKED, HOT = 0, 1, 2
+#: Mark of a place whose content its batch has elsewhere too.
+REPEATED = 1 << 62
 
 
 class SuffixAutomaton:
@@ -157,8 +159,19 @@ def _places(k: int):
                 parts.append((anchor, content, start << 16 | n, key))
             if parts:
                 lengths = [len(x[0]) for x in parts]
-                keys = pa.array([x[3] for x in parts], pa.binary()).take(pa.array(np.repeat(np.arange(len(parts)), lengths)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)), pa.array(np.concatenate([x[1] for x in parts]).view(np.int64)), keys, pa.array(np.concatenate([x[2] for x in parts]).astype(np.int64))], schema=_ROWS)
+                owner = np.repeat(np.arange(len(parts)), lengths)
+                anchor, content, at = (np.concatenate([x[i] for x in parts]) for i in range(3))
+                # What is repeated within the batch is known to be: one place goes to the anchor, marked, and the
+                # others to tasks of their text.  So a passage of a third of all texts is a row for each batch.
+                _, first, back, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+                repeated = count[back] > 1
+                at = at.astype(np.int64) | np.where(repeated, REPEATED, 0)
+                other = np.flatnonzero(repeated & (first[back] != np.arange(len(content))))
+                anchor = anchor.view(np.int64).copy()
+                anchor[other] = np.frombuffer(b"".join(x[3][:8] for x in parts), np.int64)[owner[other]]
+                at[other] = -1 - (at[other] & ~np.int64(REPEATED))
+                keys = pa.array([x[3] for x in parts], pa.binary()).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content.view(np.int64)), keys, pa.array(at)], schema=_ROWS)
 
     return run
 
@@ -178,10 +191,10 @@ class _Anchor:
     def __init__(self, anchor: int):
         self.anchor, self.content, self.hot, self.held = anchor, None, False, []
 
-    def add(self, content: int, key: bytes, at: int):
+    def add(self, content: int, key: bytes, at: int, weight: int):
         if content == self.content:
             own = self.held[-1]
-            if own[2] == 1 and (key, at) != (own[0], own[1]):
+            if own[2] == 1 and (weight == 2 or (key, at) != (own[0], own[1])):
                 own[2] = 2
                 yield self.anchor, own[0], own[1], WHOLE, 2
             if own[2] == 2:
@@ -191,7 +204,9 @@ class _Anchor:
             self.hot = True
             yield from self.told()
         self.content = content
-        self.held.append([key, at, 1])
+        self.held.append([key, at, weight])
+        if weight == 2:
+            yield self.anchor, key, at, WHOLE, 2
 
     def told(self):
         kind = HOT if self.hot else ASKED
@@ -209,14 +224,18 @@ def _classify(batches):
     for batch in batches:
         anchors, contents, ats = (batch.column(i).to_numpy() for i in (0, 1, 3))
         keys = batch.column(2)
+        known = ats < 0
+        out += [(0, keys[i].as_py(), -1 - int(ats[i]), WHOLE, 2) for i in np.flatnonzero(known).tolist()]
+        weights = np.where(~known & (ats & REPEATED != 0), 2, 1)
+        ats = ats & ~np.int64(REPEATED)
         # Rows alone under their anchor are skipped at once; those at a batch's edge go the long way.
         same = anchors[1:] == anchors[:-1]
-        for i in np.flatnonzero(np.r_[True, same] | np.r_[same, True]).tolist():
+        for i in np.flatnonzero(~known & (np.r_[True, same] | np.r_[same, True] | (weights == 2))).tolist():
             if group is None or group.anchor != anchors[i]:
                 if group is not None:
                     out.extend(group.end())
                 group = _Anchor(int(anchors[i]))
-            out.extend(group.add(int(contents[i]), keys[i].as_py(), int(ats[i])))
+            out.extend(group.add(int(contents[i]), keys[i].as_py(), int(ats[i]), int(weights[i])))
             if len(out) > 20_000:
                 yield _batch(out, _TOLD)
                 out = []
