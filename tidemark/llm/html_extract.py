@@ -8,7 +8,8 @@
    has, or its own best where it has none of them.
 
 Votes are added with partial aggregates, so a host with a third of all pages is
-a few rows for each task, and the join that hands the paths on can be split.
+a few rows for each task.  The leading paths of hosts with many pages, whose
+number is bounded, are broadcast, and only pages of other hosts meet by host.
 
 Defined results: a null or empty html gives an empty text; repeated rows stay
 repeated; a page without a url votes under an empty host; other columns are
@@ -24,8 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import Scratch
 from tidemark.llm.url_filter import host_path
 
+#: Share of all votes from which on a host's pages are not dealt by host.
+HOT = 0.002
+
 #: Fixed values of HTML: elements without an end, with raw text, and those that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template noscript iframe xmp noembed noframes svg math".split())
@@ -224,13 +229,22 @@ def leading_paths(found: DataFrame, share: float = 0.05) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row: id, url, ``text`` (blocks joined by line feeds) and ``n_chars``."""
     kind, url_kind = pages.schema[id_col].dataType.simpleString(), pages.schema[url_col].dataType.simpleString()
-    winners = leading_paths(votes(pages, url_col, html_col))
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(host_path(F.col(url_col))[0], F.lit("")).alias("host"))
+    found = Scratch(pages.sparkSession).table(votes(pages, url_col, html_col))
+    winners = leading_paths(found)
+    # A host with HOT of all votes or more, and there are at most 1 / HOT of them, has its paths broadcast; its pages
+    # are then dealt by themselves, not by host, and no task gets a host of any size.
+    total = found.agg(F.sum("n")).first()[0] or 0
+    sizes = found.groupBy("host").agg(F.sum("n").alias("n"))
+    hot = winners.join(sizes.filter(F.col("n") >= HOT * total), "host", "left_semi").select("host", F.col("winners").alias("hot_winners"))
+    host = F.coalesce(host_path(F.col(url_col))[0], F.lit(""))
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host")).join(F.broadcast(hot), "host", "left")
+    base = base.withColumn("dealt", F.when(F.col("hot_winners").isNull(), F.col("host")).otherwise(F.concat_ws("/", F.xxhash64("id", "url"), F.lit("hot"))))
+    winners = winners.withColumnRenamed("host", "dealt")
 
     def run(batches):
         for batch in batches:
             texts = [Page(html.as_py()).extracted(own.as_py() or []) for html, own in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    out = base.join(winners, "host", "left").select("id", "url", "html", "winners").mapInArrow(run, f"id {kind}, url {url_kind}, text string, n_chars long")
+    out = base.join(winners, "dealt", "left").select("id", "url", "html", F.coalesce("hot_winners", "winners").alias("winners")).mapInArrow(run, f"id {kind}, url {url_kind}, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
