@@ -33,7 +33,7 @@ HOT = 0.002
 
 #: Fixed values of HTML: elements without an end, with raw text, and those that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title template noscript iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title template noscript iframe xmp noembed noframes svg math video audio canvas".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul button".split())
 #: An open element of the key ends where one of these begins.
 CLOSES = {"p": BLOCKS - {"button", "option", "optgroup", "body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"])}
@@ -47,12 +47,17 @@ NOISE = frozenset(
     "comment comments commentlist disqus respond reply replies discussion search pagination pager widget widgets toolbar skip hidden".split()
 )
 ARTICLE = frozenset("article main".split())
+#: Words that make a header that of a text, not of a site.
+OF_TEXT = frozenset("article entry post story".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+)|(<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+_TELLING = re.compile(r"\b(?:class|id|hidden|role|style|aria-hidden)\b", re.I)
+#: What a wrapper says it has beside the text (has-sidebar, page--with-menu); it is not that thing itself.
+_BESIDE = re.compile(r"(?<![a-z])(?:has|with|no|without)[-_]+[^\s]*", re.I)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -68,11 +73,26 @@ def _noise(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
-    # A wrapper that says what it has beside the text (has-sidebar) is not that thing itself.
-    own = " ".join(n for n in names if not n.lower().startswith(("has-", "with-", "no-", "without-")))
-    words = _PART.split(_CAMEL.sub(" ", own).lower())
-    return any(w in NOISE and not (in_article and w in ("header", "masthead")) for w in words)
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    words = _PART.split(_CAMEL.sub(" ", _BESIDE.sub(" ", names)).lower())
+    of_text = in_article or not OF_TEXT.isdisjoint(words)
+    return any(w in NOISE and not (of_text and w in ("header", "masthead")) for w in words)
+
+
+def _inline_end(html: str, at: int, tag: str) -> int:
+    """Where an element inside a block ends: behind its end tag, or where the block around it ends."""
+    depth, blocks = 1, 0
+    while depth and (m := _TOKEN.match(html, at)):
+        closing, name, raw, _, _ = m.groups()
+        name = (name or "").lower()
+        if name == tag:
+            depth += -1 if closing else 0 if raw.endswith("/") else 1
+        elif name in BLOCKS and name not in VOID:
+            blocks += -1 if closing else 1
+            if blocks < 0:
+                break
+        at = m.end()
+    return at
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -147,6 +167,15 @@ class Page:
             if tag not in BLOCKS or tag in VOID:
                 if tag == "hr":
                     flush()
+                elif tag not in VOID and not noise and ("-" in tag or _TELLING.search(raw)) and not raw.endswith("/") and not any(x[0] == "pre" for x in stack):
+                    # Adverts, notices and the like inside a block; in code, "comment" is a colour.
+                    attributes = _attributes(raw)
+                    if "-" in tag:
+                        attributes["class"] = f"{tag} {attributes.get('class', '')}"
+                    if _noise(tag, attributes, True):
+                        text.append(" ")
+                        at = _inline_end(html, at, tag)
+                        link -= tag == "a"
                 continue
             flush()
             while stack and tag in CLOSES.get(stack[-1][0], ()):
