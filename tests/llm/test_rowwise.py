@@ -133,6 +133,15 @@ def test_url_rules_against_brute_force(spark):
             assert (r["rule"], r["verdict"]) == (rule, verdict)
 
 
+def test_url_rules_of_any_length(spark):
+    long = "/" + "a" * 30
+    rules = [("a.b", long[:n], v) for n, v in ((2, "block"), (8, "allow"), (9, "block"), (20, "allow"), (31, "block"))]
+    pages = [(n, f"http://x.a.b{long[:n]}?q") for n in (1, 2, 8, 15, 20, 31, 31)] + [(99, "http://a.b" + long[:10] + "b" * 30)]
+    out = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), max_path=8).collect()
+    found = sorted((r["page_id"], len(r["rule"] or ""), r["verdict"]) for r in out)
+    assert found == [(1, 0, "allow"), (2, 5, "block"), (8, 11, "allow"), (15, 12, "block"), (20, 23, "allow"), (31, 34, "block"), (31, 34, "block"), (99, 12, "block")]
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><h2>Site</h2></header><nav><ul><li><a href='/'>Home</a></li></ul></nav>{body}<footer>&copy; x</footer></body></html>"
 
@@ -148,7 +157,10 @@ def test_html_cases():
     <form><p>Subscribe now {LONG}</p></form><div class="AdBanner"><p>Buy {LONG}</p></div><p>Second {LONG}<img src="x>y"></p><ul><li>point</ul></div>
     <div class=sidebar><p>{LONG}{LONG}{LONG}</div><section class=comments><p>{LONG}{LONG}</section>"""
     assert html_extract.Page(page(noisy)).extracted([]) == f"T\n{LONG.strip()}\nSecond {LONG.strip()}\npoint"
-    for odd in (None, "", "<", "<p", "text only", "<!-- open", "<script>x", "</div></p>", "<p>a<p>b</i></p>"):
+    inside = f"""<div class="page layout--with-sidebar"><div class="post"><div class="post-header"><h1>T</h1></div><p>{LONG}<span class="advert">Buy <span>it</span> now</span>More.</p><p>End <em hidden>secret</p>
+    <p>Last <a href="/x" class="share">Share</a>word.</p><cookie-notice>We use cookies</cookie-notice><pre>x = 1 <span class="comment"># one</span></pre><video controls>No video</video></div></div>"""
+    assert html_extract.Page(page(inside)).extracted([]) == f"T\n{LONG}More.\nEnd\nLast word.\nx = 1 # one"
+    for odd in (None, "", "<", "<p", "<b class=ad>", "text only", "<!-- open", "<script>x", "</div></p>", "<p>a<p>b</i></p>"):
         html_extract.Page(odd).extracted(["html>body"])
     assert html_extract.Page("text only").extracted([]) == "text only"
     assert html_extract.Page("<p>a<p>b</i></p>").extracted([]) == "a\nb"

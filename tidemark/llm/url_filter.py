@@ -4,7 +4,9 @@ Listed canonical URL prefixes (host, path) go into a blocked Bloom filter: one
 64-bit word is a block, and a key sets ``BITS`` bits of one block.  Each page
 has one candidate key for every suffix of its host and every listed path
 length; the filter passes possible hits, and an exact hash join with the list
-removes its false positives.  The longest listed prefix decides.
+removes its false positives.  The longest listed prefix decides.  Paths longer
+than ``max_path`` have their first ``max_path`` characters in the key, and the
+join compares the rest, so the number of candidates has a bound.
 
 The filter has a fixed number of words whatever the list holds, so it goes to
 the executors as a constant of the plan.  Pages without a possible hit are never
@@ -65,16 +67,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     ``rules`` has ``host``, ``path`` and ``verdict``.  A rule fits its host and
     all subdomains where the page's path starts with the rule's; the longest
-    wins, and ``block`` among equals.  Rule paths are at most ``max_path`` long.
+    wins, and ``block`` among equals.
     """
-    listed = (
-        rules.filter(F.length("path") <= max_path)
-        .groupBy(F.concat("host", "path").alias("key"), F.col("host").alias("r_host"), F.col("path").alias("r_path"))
-        .agg(F.max("verdict").alias("r_verdict"))
-    )
+    listed = rules.groupBy(F.concat("host", F.substring("path", 1, max_path)).alias("key"), F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
     # Both are of bounded size: the filter has a fixed number of words, and there are at most ``max_path`` lengths.
     words = _constant(bloom_words(listed, "key", blocks).first()["words"], "long")
-    lengths = _constant([r["n"] for r in listed.select(F.length("r_path").alias("n")).distinct().collect()], "int")
+    lengths = _constant([r["n"] for r in listed.select(F.least(F.length("r_path"), F.lit(max_path)).alias("n")).distinct().collect()], "int")
     host, path = host_path(F.col(url_col))
     base = pages.select(F.col(id_col).alias("p_id"), F.col(url_col).alias("p_url"), host.alias("p_host"), path.alias("p_path"))
 
@@ -86,11 +84,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     judged = base.withColumn("hits", passing)
 
     missed = judged.filter(F.size("hits") == 0).select(F.col("p_id").alias(id_col), F.col("p_host").alias("host"), F.col("p_path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    hit = judged.filter(F.size("hits") > 0).select("p_id", "p_url", "p_host", "p_path", F.posexplode("hits").alias("at", "hit"))
-    exact = hit.join(listed, (F.col("hit.key") == F.col("key")) & (F.col("hit.host") == F.col("r_host")), "left")
-    best = exact.groupBy("p_id", "p_url", "p_host", "p_path").agg(
-        F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).cast("int").alias("copies"),
-        F.max(F.when(F.col("key").isNotNull(), F.struct(F.length("key").alias("n"), F.col("r_verdict").alias("v"), F.col("key").alias("k")))).alias("best"),
-    )
+    same = ["p_id", "p_url", "p_host", "p_path"]
+    hit = judged.filter(F.size("hits") > 0).groupBy(*same).agg(F.count("*").cast("int").alias("copies"))
+    # Cheaper found again than sorted and shuffled.
+    hit = hit.select(*same, "copies", F.explode(passing).alias("hit"))
+    exact = hit.join(listed, (F.col("hit.key") == F.col("key")) & (F.col("hit.host") == F.col("r_host")) & F.startswith("p_path", "r_path"), "left")
+    rule = F.concat("r_host", "r_path")
+    best = exact.groupBy(*same, "copies").agg(F.max(F.when(F.col("key").isNotNull(), F.struct(F.length(rule).alias("n"), F.col("r_verdict").alias("v"), rule.alias("k")))).alias("best"))
     found = best.select(F.col("p_id").alias(id_col), F.col("p_host").alias("host"), F.col("p_path").alias("path"), F.col("best.k").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"), F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
     return missed.unionByName(found)
