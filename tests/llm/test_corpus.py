@@ -197,6 +197,9 @@ def test_embedding_dedup_odd_tables(spark):
     out = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embed_dedup.embedding_dedup(rows).collect())
     assert out == [(0, 0, 0, False), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
     assert embed_dedup.embedding_dedup(rows.limit(0)).count() == 0
+    far = spark.createDataFrame([(1, [1e300, 1e300], 1), (2, [1e-300, 1e-300], 1), (3, [-1e300, 1e300], 1), (4, [5e-324, 0.0], 1), (5, [2.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.embedding_dedup(far).collect())
+    assert out == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
 
 
 def test_components(spark):

@@ -36,6 +36,8 @@ CELL, BLOCK, MOST_PIVOTS = 4096, 2048, 8192
 
 def _unit(values) -> np.ndarray:
     v = np.asarray(values, np.float64)
+    # A power of two changes no digit and keeps squares of huge and tiny components in range.
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(-1, keepdims=True))[1])
     return v / np.sqrt((v * v).sum(-1, keepdims=True))
 
 
