@@ -198,6 +198,26 @@ def test_licenses(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def licenses_of(text):
+    scanner = license_scan.Scanner()
+    return [(at[r[0]], r[2].replace("#", r[3] or ""), r[6], r[7]) for written, at in scanner.blocks(text) for r in sorted(scanner.confirmed(written), key=lambda r: r[:3])]
+
+
+def test_licenses_in_lines_of_any_length():
+    rng = random.Random(5)
+    legal = " ".join(t[2] for t in license_scan.TEMPLATES).replace("#", "2.0").split()
+    for n in (100, 1000, 20_000):
+        for pool in ("river stone of the license under copyright morning is and".split(), legal):
+            own = [rng.choice(pool) for _ in range(n)]
+            own[n // 2 : n // 2] = "Released under the MIT License.".split()
+            own[n // 4 : n // 4] = "This work is licensed under the GNU General Public License, version 3.".split()
+            found = licenses_of(" ".join(own))
+            assert (0, "MIT", [], []) in found and (0, "GPL-3", [], []) in found
+    # A full text: license wording on most of its lines, the notice at its end.
+    full = [f"{i}. The license grants {' '.join(rng.choice(legal) for _ in range(9))}" for i in range(600)]
+    assert (600, "GPL-2", [], []) in licenses_of("\n".join([*full, "This work is licensed under the GNU General Public License, version 2."]))
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice("water river stone field under over quiet morning".split()) for _ in range(40))
