@@ -218,6 +218,17 @@ def test_licenses_in_lines_of_any_length():
     assert (600, "GPL-2", [], []) in licenses_of("\n".join([*full, "This work is licensed under the GNU General Public License, version 2."]))
 
 
+def test_licenses_beside_each_other():
+    far = "In this town nobody had a copy of the old map, and so the people of the river went on without one for many a year, until a stranger came with a box of papers that no one could read at all in those days."
+    assert licenses_of(f"{far} This book is licensed under the GNU General Public License, version 3.") == [(0, "GPL-3", ["work"], ["book"])]
+    gpl = "This work is licensed under a GNU General Public License, version 2."
+    assert licenses_of(f"Released under the MIT License.\n{gpl}") == [(0, "MIT", [], []), (1, "GPL-2", ["the"], ["a"])]
+    assert [x[1] for x in licenses_of("Licensed under CC BY 3.0.\nLicensed under CC BY 4.0. Licensed under CC BY 4.0.")] == ["CC-BY-3.0", "CC-BY-4.0", "CC-BY-4.0"]
+    assert [x[:2] for x in licenses_of(f"{gpl}\n\n{gpl.replace('2', '3')}")] == [(0, "GPL-2"), (2, "GPL-3")]
+    # What overlaps a better result is not one.
+    assert licenses_of("This work is licensed under the GNU Affero General Public License, version 3.") == [(0, "AGPL-3", [], [])]
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice("water river stone field under over quiet morning".split()) for _ in range(40))
