@@ -229,6 +229,15 @@ def test_licenses_beside_each_other():
     assert licenses_of("This work is licensed under the GNU Affero General Public License, version 3.") == [(0, "AGPL-3", [], [])]
 
 
+def test_licenses_on_wrapped_lines():
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one."
+    assert licenses_of(f"x\n{mpl}") == [(1, "MPL-2.0", [], [])]
+    gpl = license_scan.TEMPLATES[6][2].replace("#", "3").replace(" it under", "\nit under").replace("published by ", "published by\n").replace("or (at", "or\n\n(at")
+    assert licenses_of(f"Released under the MIT License.\n{gpl}\nx") == [(0, "MIT", [], []), (1, "GPL-3", [], [])]
+    narrow = license_scan.TEMPLATES[6][2].replace("#", "3").replace(" ", "\n")
+    assert licenses_of(f"x\n{narrow}\nx") == [(1, "GPL-3", [], [])]
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice("water river stone field under over quiet morning".split()) for _ in range(40))
