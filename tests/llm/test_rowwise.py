@@ -167,6 +167,19 @@ def test_html_cases():
     assert html_extract.Page("<div>" * 3000 + "deep").extracted([]) == "deep"
 
 
+def test_html_whole_articles():
+    many, body = LONG.strip(), f"<p>{LONG}</p>" * 14
+    text = "\n".join([many] * 14)
+    for start, end in (("<div class=post>", "</div>"), ("<article>", "</article>")):
+        for inner in ("<div class=body>", "<div><div>"):
+            html = page(f"<div id=root>{start}<h1>Title of it</h1>{inner}{body}</div></div>{end}</div><div class=extra><p>{LONG}</p></div>")
+            assert html_extract.Page(html).extracted([]) == f"Title of it\n{text}"
+    html = page(f"<div id=root><div class=one>{f'<p>{LONG}</p>' * 8}</div><ul><li><a href='/x'>Other page of this site</a></li></ul><div class=two>{f'<p>{LONG}</p>' * 2}</div></div>")
+    assert html_extract.Page(html).extracted([]) == "\n".join([many] * 10)
+    html = page(f"<table><tr><td><h1>Title of it</h1></td></tr><tr><td><div>{body}</div></td></tr></table>")
+    assert html_extract.Page(html).extracted([]) == f"Title of it\n{text}"
+
+
 def test_hosts_vote(spark):
     usual = f'<div class="story s-1"><p>{LONG}</p><p>{LONG}</p></div><div class="extra"><p>{LONG}</p></div>'
     odd = f'<div class="story s-9"><p>Short.</p></div><div class="extra"><p>{LONG}</p><p>{LONG}</p></div>'

@@ -1,8 +1,10 @@
 """HTML extraction (operator 6): consensus host paths.
 
 1. Each page is parsed once and its containers are scored by the text of the
-   blocks below them, less link text; the best one's path of tags and
-   generalised classes (``html>body>div.post-#``) is the page's vote.
+   blocks below them, less link text.  From the best one on, the outermost one
+   below the body that adds text (within ``article`` or ``main``, if there is
+   one around it) is taken; its path of tags and generalised classes
+   (``html>body>div.post-#``) is the page's vote.
 2. Spark adds up the votes by host and path and keeps each host's leading paths.
 3. Every page is extracted again: with the leading path of its host that it
    has, or its own best where it has none of them.
@@ -47,6 +49,8 @@ NOISE = frozenset(
     "comment comments commentlist disqus respond reply replies discussion search pagination pager widget widgets toolbar skip hidden".split()
 )
 ARTICLE = frozenset("article main".split())
+#: Elements that hold a block or the parts of a table, not a text.
+OWN_BLOCKS = frozenset("p li dd dt td th tr tbody thead pre blockquote".split()) | HEADINGS
 #: Words that make a header that of a text, not of a site.
 OF_TEXT = frozenset("article entry post story".split())
 
@@ -193,11 +197,10 @@ class Page:
     def scores(self) -> dict[int, float]:
         """Of containers: a block's text, less its links, for its own container, less for those further out."""
         out: dict[int, float] = {}
-        own_blocks = ("p", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "pre", "blockquote", *HEADINGS)
         for text, links, at in self.blocks:
             worth, rate = len(text) - 2 * links, 1.0
             for i in reversed(at):
-                if self.tags[i] in own_blocks:
+                if self.tags[i] in OWN_BLOCKS:
                     continue
                 most = 0.3 if self.tags[i] in ("body", "html") else 1.0
                 bonus = 1.5 if self.tags[i] in ARTICLE else 1.0
@@ -205,20 +208,45 @@ class Page:
                 rate *= 0.75
         return out
 
+    def whole(self, core: int) -> int:
+        """The outermost container around ``core`` that adds text which is not mostly links."""
+        chain = next(at[: at.index(core) + 1] for _, _, at in self.blocks if core in at)
+        fit = [k for k, i in enumerate(chain) if self.tags[i] not in OWN_BLOCKS and self.tags[i] not in ("body", "html")]
+        declared = [k for k in fit if self.tags[chain[k]] in ARTICLE]
+        fit = [k for k in fit if not declared or k >= declared[0]]
+        out = len(chain) - 1
+        for text, links, at in self.blocks:
+            if len(text) > 2 * links:
+                met = next((k for k, (i, j) in enumerate(zip(chain, at, strict=False)) if i != j), min(len(chain), len(at))) - 1
+                # A block that meets the chain in a part of a table is added by the table.
+                out = min(out, max((k for k in fit if k <= met), default=out))
+        return chain[out]
+
     def best(self) -> tuple[str | None, float]:
-        """Path of the best container (the outermost among equals) and its score."""
+        """Path of the whole of the best container (the outermost among equals) and the best one's score."""
         scores = self.scores()
         if not scores:
             return None, 0.0
         at = min(scores, key=lambda i: (-scores[i], i))
-        return self.paths[at], scores[at]
+        return self.paths[self.whole(at)], scores[at]
 
     def text(self, path: str | None) -> str:
-        """The blocks below the containers with this path; all blocks where it is None."""
+        """The blocks below the containers with this path; all blocks where it is None.
+
+        Beside a container's best part, blocks that are mostly links are left out, but not within ``article`` or ``main``.
+        """
         if path is None:
             return "\n".join(b[0] for b in self.blocks)
         inside = {i for i, p in enumerate(self.paths) if p == path}
-        return "\n".join(b[0] for b in self.blocks if not inside.isdisjoint(b[2]))
+        own = [(b, next(i for i in b[2] if i in inside)) for b in self.blocks if not inside.isdisjoint(b[2])]
+        if any(len(b[0]) <= 2 * b[1] for b, _ in own):
+            scores, core = self.scores(), {}
+            for b, i in own:
+                for j in b[2][b[2].index(i) :]:
+                    if j in scores and (i not in core or (-scores[j], j) < (-scores[core[i]], core[i])):
+                        core[i] = j
+            own = [(b, i) for b, i in own if len(b[0]) > 2 * b[1] or core.get(i, i) in b[2] or any(self.tags[j] in ARTICLE for j in b[2])]
+        return "\n".join(b[0] for b, _ in own)
 
     def extracted(self, winners: list[str]) -> str:
         there = set(self.paths)
