@@ -180,6 +180,25 @@ def test_html_whole_articles():
     assert html_extract.Page(html).extracted([]) == f"Title of it\n{text}"
 
 
+def test_html_wrapped_in_noise():
+    text = f"Title\n{LONG.strip()}"
+    body = f"<h1>Title</h1><p>{LONG}</p>"
+    wraps = [("<form id=aspnetForm><input name=q><select><option>One</select>", "<button>Go</button></form>"), ("<div class='widget Blog'>", "</div>"), ("<form><div class=widgets><div class='elementor-widget-container'>", "</div></div></form>")]
+    wraps += [("<div class='sponsored page'>", "</div>"), ("<div class='sponsored post'>", "</div><div>Other</div>"), ("<main><form>", "</form></main>"), ("<promo-page>", "</promo-page>")]
+    for start, end in wraps:
+        for inner in (body, f"<div class=post>{body}</div>"):
+            assert html_extract.Page(page(start + inner + end)).extracted([]) == text, start
+    parts = "".join(f"<div class=elementor-widget>{x}</div>" for x in ("<h1>Title</h1>", f"<p>{LONG}</p>", f"<p>{LONG}</p>"))
+    for start in ("<div>", "<div class=post><p></p>"):
+        assert html_extract.Page(page(f"{start}{parts}</div>")).extracted([]) == f"{text}\n{LONG.strip()}"
+    assert html_extract.Page(page(f"<div class=post><header><h1>Title</h1></header><p>{LONG}</p></div>")).extracted([]) == text
+    # What is longer than the text stays out where it is not around it.
+    for noise in (f"<form><p>Subscribe {LONG * 3}</p></form>", f"<div class=widget><p>{LONG * 3}</p></div>", f"<div class=comments><p>{LONG * 3}</p></div>", f"<div class='post-comments'><p>{LONG * 3}</p></div>"):
+        assert html_extract.Page(page(f"<article>{body}</article>{noise}")).extracted([]) == text
+        assert html_extract.Page(page(f"<div class=post>{body}</div>{noise}")).extracted([]) == text
+    assert html_extract.Page(page(f"<div class=ad>{LONG}</div>")).extracted([]) == ""
+
+
 def test_hosts_vote(spark):
     usual = f'<div class="story s-1"><p>{LONG}</p><p>{LONG}</p></div><div class="extra"><p>{LONG}</p></div>'
     odd = f'<div class="story s-9"><p>Short.</p></div><div class="extra"><p>{LONG}</p><p>{LONG}</p></div>'

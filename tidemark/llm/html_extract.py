@@ -13,6 +13,11 @@ Votes are added with partial aggregates, so a host with a third of all pages is
 a few rows for each task.  The leading paths of hosts with many pages, whose
 number is bounded, are broadcast, and only pages of other hosts meet by host.
 
+Noise is left out, but not what a page is wrapped in: a form, or widgets, with
+most of the page's text and no less than half of that in elements named as the
+text (article, post), and, where a page would have no text at all, whatever
+classes call an element that has most of it with a title or article.
+
 Defined results: a null or empty html gives an empty text; repeated rows stay
 repeated; a page without a url votes under an empty host; other columns are
 ignored.
@@ -48,10 +53,14 @@ NOISE = frozenset(
     "footer footnav header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations trending "
     "comment comments commentlist disqus respond reply replies discussion search pagination pager widget widgets toolbar skip hidden".split()
 )
+#: Words of what may as well be around a page's text (and forms may), and how sure noise is: opened where it has most of
+#: the text, where there is no other text, or never.
+AROUND = frozenset("widget widgets".split())
+SOFT, FIRM, HARD = 1, 2, 3
 ARTICLE = frozenset("article main".split())
 #: Elements that hold a block or the parts of a table, not a text.
 OWN_BLOCKS = frozenset("p li dd dt td th tr tbody thead pre blockquote".split()) | HEADINGS
-#: Words that make a header that of a text, not of a site.
+#: Words that name an element as the text, and make a header that of a text, not of a site.
 OF_TEXT = frozenset("article entry post story".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+)|(<)", re.S)
@@ -59,6 +68,7 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+
 _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+_TITLE = re.compile(r"<(?:h1|article|main)\b", re.I)
 _TELLING = re.compile(r"\b(?:class|id|hidden|role|style|aria-hidden)\b", re.I)
 #: What a wrapper says it has beside the text (has-sidebar, page--with-menu); it is not that thing itself.
 _BESIDE = re.compile(r"(?<![a-z])(?:has|with|no|without)[-_]+[^\s]*", re.I)
@@ -68,19 +78,30 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
 
 
-def _noise(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if tag in SKIP or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES:
-        return True
-    if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+def _named(attributes: dict[str, str]) -> list[str]:
+    """Words of classes and ids."""
+    if not attributes:
+        return []
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    words = _PART.split(_CAMEL.sub(" ", _BESIDE.sub(" ", names)).lower())
+    return _PART.split(_CAMEL.sub(" ", _BESIDE.sub(" ", names)).lower())
+
+
+def _noise(tag: str, attributes: dict[str, str], in_article: bool, words: list[str]) -> int:
+    """0, or how sure it is that an element is noise."""
+    if tag in SKIP and tag != "form" or tag == "header" and not in_article:
+        return HARD
+    if tag in ("html", "body"):
+        return 0
+    role = attributes.get("role", "").lower()
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or role in ROLES and role != "form":
+        return HARD
+    if "display:none" in attributes.get("style", "").replace(" ", "").lower():
+        return HARD
     of_text = in_article or not OF_TEXT.isdisjoint(words)
-    return any(w in NOISE and not (of_text and w in ("header", "masthead")) for w in words)
+    found = {w for w in words if w in NOISE and not (of_text and (w in AROUND or w in ("header", "masthead")))}
+    if found - AROUND and OF_TEXT.isdisjoint(attributes.get("class", "").lower().split()):
+        return FIRM
+    return SOFT if found or tag == "form" or role == "form" else 0
 
 
 def _inline_end(html: str, at: int, tag: str) -> int:
@@ -112,10 +133,30 @@ class Page:
         self.paths: list[str] = []  # of containers, by number
         self.tags: list[str] = []
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
-        self._parse(html or "")
-
-    def _parse(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, container, noise
+        sizes, total, told = self._parse(html or "", frozenset(), SOFT)
+        # Sizes are of nested elements too, so one more parse opens all that are around the page's text.
+        wraps = {i for i, (n, t, _, _) in sizes.items() if 2 * n > total and 2 * t >= told}
+        widgets = [x for x in sizes.values() if x[3]]
+        if 2 * sum(x[0] for x in widgets) > total and 2 * sum(x[1] for x in widgets) >= told:
+            wraps |= {i for i, x in sizes.items() if x[3] is not None}
+        if wraps:
+            self._parse(html or "", frozenset(wraps), SOFT)
+        if not self.blocks and html:
+            sizes, total, _ = self._parse(html, frozenset(), FIRM)
+            if wraps := {i for i, (n, _, titles, _) in sizes.items() if 2 * n > total and titles}:
+                self._parse(html, frozenset(wraps), FIRM)
+
+    def _parse(self, html: str, opened: frozenset[int], most: int) -> tuple[dict[int, tuple[int, int, int, bool | None]], int, int]:
+        """Fills in the blocks, with the noise that begins at ``opened`` as text.
+
+        Gives, by where they begin, of elements that are noise up to ``most``: characters, those of them in elements named
+        as the text, titles and articles, and whether they are widgets in no other (None for forms); then all characters and those in named elements.  Links and surer noise
+        do not count.
+        """
+        self.paths, self.tags, self.blocks = [], [], []
+        stack: list[tuple[str, int, bool, bool, bool, tuple | None]] = []  # tag, container, noise, surer noise, named, where it begins and counts there
+        sizes: dict[int, tuple[int, int, int, bool | None]] = {}
+        seen, told, titles, sure, widgets = 0, 0, 0, 0, 0
         path, text, links, link = "", [], 0, 0
         noise = 0
         blocks, paths, tags = self.blocks, self.paths, self.tags
@@ -129,10 +170,14 @@ class Page:
             text, links = [], 0
 
         def pop():
-            nonlocal noise, link
-            _, _, noisy = stack.pop()
+            nonlocal noise, link, sure, widgets
+            _, _, noisy, surer, _, begun = stack.pop()
             noise -= noisy
+            sure -= surer
             link = 0
+            if begun:
+                sizes[begun[0]] = (seen - begun[1], told - begun[2], titles - begun[3], begun[4])
+                widgets -= begun[4] is not None
 
         at, end = 0, len(html)
         while at < end:
@@ -142,6 +187,10 @@ class Page:
             at = m.end()
             closing, tag, raw, plain, stray = m.groups()
             if tag is None:
+                if plain and not sure and not link:
+                    n = len(plain.strip())
+                    seen += n
+                    told += n if stack and stack[-1][4] else 0
                 if (plain or stray) and (not noise):
                     text.append(plain or stray)
                     if link:
@@ -176,7 +225,15 @@ class Page:
                     attributes = _attributes(raw)
                     if "-" in tag:
                         attributes["class"] = f"{tag} {attributes.get('class', '')}"
-                    if _noise(tag, attributes, True):
+                    kind = _noise(tag, attributes, True, _named(attributes))
+                    if 0 < kind <= most and most == FIRM:
+                        # Only a page without other text is looked for in here.
+                        begun, close = m.start(), _inline_end(html, at, tag)
+                        inner = html[at:close]
+                        n = sum(len(x.group(4).strip()) for x in _TOKEN.finditer(inner) if x.group(4))
+                        sizes[begun] = (n, 0, len(_TITLE.findall(inner)), False)
+                        seen += n
+                    if kind and m.start() not in opened:
                         text.append(" ")
                         at = _inline_end(html, at, tag)
                         link -= tag == "a"
@@ -185,14 +242,24 @@ class Page:
             while stack and tag in CLOSES.get(stack[-1][0], ()):
                 pop()
             attributes = _attributes(raw)
-            in_article = any(x[0] in ARTICLE for x in stack)
-            noisy = not noise and _noise(tag, attributes, in_article)
+            named = _named(attributes)
+            # The site's own header is not in a post, whatever the page's body is called.
+            in_text = bool(stack) and stack[-1][4] or tag in ARTICLE or tag not in ("html", "body") and not OF_TEXT.isdisjoint(named)
+            kind = _noise(tag, attributes, bool(stack) and stack[-1][4], named)
+            noisy, surer = bool(kind) and m.start() not in opened, kind > most
             path = f"{paths[stack[-1][1]]}>{_step(tag, attributes)}" if stack else _step(tag, attributes)
             noise += noisy
-            stack.append((tag, len(paths), noisy))
+            sure += surer
+            begun = (m.start(), seen, told, titles, None if tag == "form" else not widgets) if 0 < kind <= most else None
+            widgets += begun is not None and begun[4] is not None
+            stack.append((tag, len(paths), noisy, surer, in_text and not surer, begun))
+            titles += not sure and (tag == "h1" or tag in ARTICLE)
             paths.append(path)
             tags.append(tag)
         flush()
+        while stack:
+            pop()
+        return sizes, seen, told
 
     def scores(self) -> dict[int, float]:
         """Of containers: a block's text, less its links, for its own container, less for those further out."""
