@@ -192,6 +192,18 @@ def test_embedding_dedup_is_exact(spark, monkeypatch, cell, block):
         assert (out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (count[i], g, i == g)
 
 
+def test_ngram_join_counts_repeated_rows_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, text), (2, f"{text} more")], "doc_id long, text string").coalesce(1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, 1)
+    try:
+        out = ngram_join.ngram_join(rows.union(rows).union(rows)).collect()
+    finally:
+        spark.conf.unset(size)
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == [(1, 1, 1), (2, 1, 1)]
+
+
 def test_embedding_dedup_odd_tables(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.0], 2), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     out = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embed_dedup.embedding_dedup(rows).collect())

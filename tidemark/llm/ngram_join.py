@@ -233,6 +233,8 @@ def _links(threshold: float):
 
     def run(batches):
         for (_, one, two), rows in _grouped(batches, 3):
+            # A class whose row is repeated in several batches or partitions was sent for each.
+            rows = list({r[0]: r for r in rows}.values())
             nodes = [r[0] for r in rows]
             weight = np.array([r[1] for r in rows], np.int64)
             own = np.array([r[2] for r in rows])
