@@ -336,6 +336,18 @@ def test_decontamination_is_exact(spark):
     assert decontaminate.contaminated(docs(spark, texts), table.limit(0)).count() == 0 and decontaminate.contaminated(docs(spark, []), table).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    items = spark.createDataFrame([(1, "Blue whale!"), (2, "one"), (3, "four words are here"), (4, "a b c d e f"), (5, ""), (6, None)], "item_id long, text string")
+    far = "The answer to this long question is of course "
+    texts = [far + "the blue whale, as all know.", "blue whale", far + "blue or whale", "FOUR words are here " + far, "one", "x a b c d e f y", "blue", "", None]
+    wanted = [(0, 1), (1, 1), (3, 3), (4, 2), (5, 4)]
+    for bound in (4_000_000, 1):
+        out = decontaminate.contaminated(docs(spark, texts), items, index_bound=bound, short_items=True).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in out) == wanted and all(r["containment"] == 1 for r in out)
+        clean = decontaminate.clean(docs(spark, texts), items, index_bound=bound, short_items=True)
+        assert sorted(r["doc_id"] for r in clean.collect()) == [2, 6, 7, 8]
+
+
 def test_word_hashes_tell_words_apart():
     rng = random.Random(6)
     data = " ".join("".join(rng.choice("abéß0") for _ in range(rng.randint(1, 6))) for _ in range(5000)).encode()

@@ -17,7 +17,9 @@ a shuffle, so neither memory nor data moved depends on the number of items.
 
 Defined results: words are runs of letters, digits and non-ASCII characters of
 the lower-cased text; an item or a document with less than ``k`` words has one
-shingle of all its words, and one without words matches nothing; items with
+shingle of all its words (such an item is found in longer documents with
+``short_items``, which probes documents with runs of its number of words too),
+and one without words matches nothing; items with
 equal text each give a row; repeated documents stay repeated; null ids are kept.
 """
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import shingles
+from tidemark.llm.words import NO_WORD, shingles, spans
 
 
 class Index:
@@ -78,8 +80,19 @@ class Index:
                 yield self.ids[i], int(found[i]), int(self.sizes[i])
 
 
-def _parts(items: DataFrame, id_col: str, text_col: str, k: int, index_bound: int):
-    """Lists of (item id, shingles); each list has at most ``index_bound`` shingles, or one item.
+class Probes:
+    """An index for each number of words that the items' shingles have."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray, int]], threshold: float):
+        self.indexes = [(k, Index([(i, s) for i, s, own in items if own == k], threshold)) for k in sorted({own for _, _, own in items})]
+
+    def contained(self, text: str | None):
+        for k, index in self.indexes:
+            yield from index.contained(shingles(text, k))
+
+
+def _parts(items: DataFrame, id_col: str, text_col: str, k: int, index_bound: int, short_items: bool):
+    """Lists of (item id, shingles, words of a shingle that documents are probed with); each list has at most ``index_bound`` shingles, or one item.
 
     Items stream through the driver partition by partition; only the part in work is held.
     """
@@ -89,13 +102,14 @@ def _parts(items: DataFrame, id_col: str, text_col: str, k: int, index_bound: in
         if part and held + len(own) > index_bound:
             yield part
             part, held = [], 0
-        part.append((row[0], own))
+        n = len(spans((row[1] or "").lower().encode("utf-8", "replace"), NO_WORD)[0]) if short_items else k
+        part.append((row[0], own, min(k, n) or k))
         held += len(own)
     if part:
         yield part
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, k: int = 5, index_bound: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, k: int = 5, index_bound: int = 4_000_000, short_items: bool = False) -> DataFrame:
     """One row for each document and item it contains: ids, ``n_found``, ``n_shingles`` and ``containment`` (at least ``threshold``)."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
@@ -106,11 +120,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         sent = spark.sparkContext.broadcast(part)
 
         def run(batches):
-            index = Index(sent.value, threshold)
+            probes = Probes(sent.value, threshold)
             for batch in batches:
                 at, rows = [], []
                 for i, text in enumerate(batch.column(1)):
-                    for row in index.contained(shingles(text.as_py(), k)):
+                    for row in probes.contained(text.as_py()):
                         at.append(i)
                         rows.append(row)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([r[0] for r in rows], item_arrow), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["doc", "item", "n_found", "n_shingles"])
@@ -118,26 +132,26 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
     found = None
-    for part in _parts(items, item_id, item_text, k, index_bound):
+    for part in _parts(items, item_id, item_text, k, index_bound, short_items):
         found = probed(part) if found is None else found.unionByName(probed(part))
     if found is None:
         found = spark.createDataFrame([], schema)
     return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "n_found", "n_shingles", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, k: int = 5, index_bound: int = 4_000_000) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, k: int = 5, index_bound: int = 4_000_000, short_items: bool = False) -> DataFrame:
     """The documents, with all their columns, that contain no item; no shuffle."""
-    for part in _parts(items, item_id, item_text, k, index_bound):
-        docs = _without(docs, part, text_col, threshold, k)
+    for part in _parts(items, item_id, item_text, k, index_bound, short_items):
+        docs = _without(docs, part, text_col, threshold)
     return docs
 
 
-def _without(docs: DataFrame, part, text_col: str, threshold: float, k: int) -> DataFrame:
+def _without(docs: DataFrame, part, text_col: str, threshold: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(part)
 
     def run(batches):
-        index = Index(sent.value, threshold)
+        probes = Probes(sent.value, threshold)
         for batch in batches:
-            yield batch.filter(pa.array([next(index.contained(shingles(x.as_py(), k)), None) is None for x in batch.column(text_col)], pa.bool_()))
+            yield batch.filter(pa.array([next(probes.contained(x.as_py()), None) is None for x in batch.column(text_col)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
