@@ -47,3 +47,8 @@ def test_every_query_of_the_engine_has_sql():
 
 def test_entry_lists_the_engine():
     assert set(catalog.QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n.startswith("select_") and n not in ("select_div", "select_mod", "select_cast_float_to_int", "select_struct")])
+def test_scalar_query_matches_sql(spark, db, name):
+    test_query_matches_sql(spark, db, name)
