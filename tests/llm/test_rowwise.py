@@ -3,6 +3,8 @@
 import hashlib
 import random
 import struct
+import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -199,6 +201,72 @@ def test_html_wrapped_in_noise():
     assert html_extract.Page(page(f"<div class=ad>{LONG}</div>")).extracted([]) == ""
 
 
+def test_html_names_that_only_look_like_noise():
+    text = f"Title\n{LONG.strip()}"
+    for start, end in (("<article class='post category-advertising'>", "</article>"), ("<div class='post tag-social'>", "</div>"), ("<div class='tag-social category-ads'>", "</div>"), ("<article class='advertising'>", "</article>"), ("<main class='search'>", "</main>"), ("<div class='promo'>", "</div>")):
+        assert html_extract.Page(page(f"{start}<h1>Title</h1><p>{LONG}</p>{end}")).extracted([]) == text, start
+    # Unclosed media hold nothing; closed ones are left out.
+    assert html_extract.Page(page(f"<article><h1>Title</h1><video src=x><p>{LONG}</p></article>")).extracted([]) == text
+    assert html_extract.Page(page(f"<article><h1>Title</h1><svg><svg><text>a</text></svg><text>b</text></svg><video>No video</video><p>{LONG}</p></article>")).extracted([]) == text
+    assert html_extract.Page(page(f"<div class=post><h1>Title</h1><div class=entry><p>{LONG}</p></div></div>")).extracted([]) == text
+    # More comments than text stay out, also as articles.
+    comments = f"<div id=comments>{f'<article class=comment><p>{LONG}</p></article>' * 9}</div>"
+    assert html_extract.Page(page(f"<article><h1>Title</h1><p>{LONG}</p></article>{comments}")).extracted([]) == text
+    assert html_extract.Page(page(f"<main><h1>Title</h1><p>{LONG}</p>{comments}</main>")).extracted([]) == text
+
+
+HOSTILE = {
+    "deep": "<div>", "classes": "<div class='a b-1'>", "quotes": '<a "', "values": '<a b="', "declarations": "<!", "ends": "</", "stray": "<", "open tags": "<a ", "comments": "<!-- ", "svg": "<svg><svg></svg>", "videos": "<video>",
+    "noise": "<span class=ad>", "in noise": "<span class=ad><p>x", "spans": "<div class=ad><span>", "forms": "<form><p>x", "lists": "<ul><li>a", "links": "<a href=x>b", "tables": "<table><tr><td>", "references": "&amp", "names": "<a" + "b" * 50, "equals": "= ", "attributes": "<a b='c\" ", "scripts": "<script>",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_html_takes_time_in_proportion(name):
+    for tail in ("", ">", "<p>end</p>"):
+        html = HOSTILE[name] * (1_000_000 // len(HOSTILE[name])) + tail
+        began = time.process_time()
+        found = html_extract.Page(html)
+        found.extracted([found.best()[0] or "p"])
+        assert time.process_time() - began < 6, tail
+
+
+def test_html_deep_pages_take_little_memory():
+    tracemalloc.start()
+    assert html_extract.Page("<div class=x>" * 100_000 + "deep").extracted([]) == "deep"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000
+
+
+def test_host_votes_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        host = rng.choice(["a.com", "b.com", "c.com", *[f"h{j}.com" for j in range(60)]])
+        kind = rng.choice(["story", "story", "other", f"rare{i}"])
+        rows.append((i, f"http://{host}/{i}", page(f"<div class={kind}><p>{LONG * rng.randint(1, 2)}</p></div><div class=extra><p>{'Many more words. ' * rng.randint(0, 25)}</p></div>")))
+    wanted, polls = {}, {}
+    for _, url, html in rows:
+        path, score = html_extract.Page(html).best()
+        own = polls.setdefault(url.split("/")[2], {}).setdefault(path, [0, 0.0])
+        own[0] += 1
+        own[1] += score
+    for i, url, html in rows:
+        poll = polls[url.split("/")[2]]
+        total = sum(n for n, _ in poll.values())
+        winners = sorted((p for p, (n, _) in poll.items() if n >= 0.05 * total), key=lambda p: (-poll[p][0], -poll[p][1], p))
+        wanted[i] = html_extract.Page(html).extracted(winners)
+    assert any(wanted[i] != html_extract.Page(html).extracted([]) for i, _, html in rows)
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(table).collect()} == wanted
+    hot, html_extract.HOT = html_extract.HOT, 0.1
+    try:
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(table).collect()} == wanted
+    finally:
+        html_extract.HOT = hot
+
+
 def test_hosts_vote(spark):
     usual = f'<div class="story s-1"><p>{LONG}</p><p>{LONG}</p></div><div class="extra"><p>{LONG}</p></div>'
     odd = f'<div class="story s-9"><p>Short.</p></div><div class="extra"><p>{LONG}</p><p>{LONG}</p></div>'
