@@ -338,6 +338,84 @@ def test_licenses_on_wrapped_lines():
     assert licenses_of(f"x\n{narrow}\nx") == [(1, "GPL-3", [], [])]
 
 
+def test_licenses_that_others_contain():
+    def names(text):
+        return [(x[1], x[2], x[3]) for x in licenses_of(text)]
+
+    for terms in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+        assert names(f"Licensed under CC {terms} 4.0.") == names(f"Licensed under CC {terms.replace('-', ' ')} 4.0") == [(f"CC-{terms}-4.0", [], [])]
+    for wording in ("{} License, version 3.", "{} License, v. 3."):
+        assert names("This work is licensed under the GNU Lesser " + wording.format("General Public"))[0][0] == "LGPL-3"
+        assert names("This work is licensed under the GNU Affero " + wording.format("General Public"))[0][0] == "AGPL-3"
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert names(header.format("Affero ")) == [("AGPL-3", [], [])] and names(header.format("")) == [("GPL-3", [], [])]
+    assert [x[0] for x in names(header.format("Lesser "))] in ([], ["LGPL-3"])
+    assert names("Released under the Apache License.") == []  # not MIT with another name
+    assert names("SPDX-License-Identifier: GPL-3.0-or-later") == [("GPL-3.0-or-later", [], [])]
+    three = next(t[2] for t in license_scan.TEMPLATES if t[1] == "BSD-3-Clause")
+    two = next(t[2] for t in license_scan.TEMPLATES if t[1] == "BSD-2-Clause")
+    assert names(three.replace(" ", "\n")) == [("BSD-3-Clause", [], [])] and names(two) == [("BSD-2-Clause", [], [])]
+
+
+def least_differences(wanted, own):
+    """(missing and added words, missing words) of the best alignment, word by word; None without one."""
+    from functools import lru_cache
+
+    most = max(m for m in range(len(wanted)) if len(wanted) - m >= 0.8 * len(wanted) - 1e-9 or not m)
+
+    @lru_cache(None)
+    def rest(i, j, m):
+        if i == len(wanted):
+            return (0, 0)
+        found = [(10**6, 0)]
+        if j < len(own) and own[j] == wanted[i]:
+            found.append(rest(i + 1, j + 1, m))
+        if m < most and wanted[i] not in license_scan.NAMES:
+            a, b = rest(i + 1, j, m + 1)
+            found.append((a + 1, b + 1))
+        if j < len(own) and (own[j] not in license_scan.QUALIFIERS or own[j] in wanted):
+            a, b = rest(i, j + 1, m)
+            found.append((a + 1, b))
+        return min(found)
+
+    return min((rest(0, j, 0) for j in range(len(own) + 1)), default=None)
+
+
+def test_licenses_against_brute_force():
+    rng = random.Random(12)
+    templates = [t for t in license_scan.TEMPLATES if 4 < len(t[2].split()) <= 25]
+    scanner = license_scan.Scanner(templates, rank=-9.0)
+    filler = "river stone of the morning is under quiet and no one had a map".split()
+    n = 0
+    for _ in range(60):
+        family, name, text = rng.choice(templates)
+        own = text.replace("#", rng.choice(["2.0", "3", "4.0"])).split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([["word"], [], [own[at], "extra"], [own[at], "lesser"]])
+        paragraph = [rng.choice(filler) for _ in range(rng.randrange(30))] + own + [rng.choice(filler) for _ in range(rng.randrange(30))]
+        wrapped = "".join(w + rng.choice([" ", " ", "\n"]) for w in paragraph)
+        bare = license_scan.words(wrapped)
+        every = [(least_differences(license_scan.words(t[2]), bare), t) for t in templates]
+        best = min(((d[0] / len(license_scan.words(t[2])), -len(license_scan.words(t[2])) + d[1]) for d, t in every if d[0] <= 1.2 * len(license_scan.words(t[2]))), default=None)
+        found = [r for w, _ in scanner.blocks(wrapped) for r in scanner.confirmed(w)]
+        if best is None:
+            assert not found, wrapped
+            continue
+        n += 1
+        first = min(((len(r[6]) + len(r[7])) / round((len(license_scan.words(" ".join(w[r[0] : r[1]]))) - len(r[7])) / r[5]), -(len(license_scan.words(" ".join(w[r[0] : r[1]]))) - len(r[7]))) for w, _ in scanner.blocks(wrapped) for r in scanner.confirmed(w))
+        assert first == pytest.approx(best), (wrapped, found)
+    assert n > 30
+
+
+def test_licenses_odd_rows(spark):
+    rows = spark.createDataFrame([(1, "Released under the MIT License.", "x", "y"), (None, "Released under the MIT License.", "x", "y"), (1, "Released under the MIT License.", "x", "y")], "doc_id int, text string, license string, block string")
+    out = license_scan.scan(rows).collect()
+    assert sorted((r["doc_id"] or 0, r["license"], r["block"]) for r in out) == [(0, "MIT", "Released under the MIT License.")] + [(1, "MIT", "Released under the MIT License.")] * 2
+    long = "the license of stone " * 60_000 + "Released under the MIT License. " + "x" * 2_000_000
+    assert [r["license"] for r in license_scan.scan(docs(spark, [long])).collect()] == ["MIT"]
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice("water river stone field under over quiet morning".split()) for _ in range(40))
