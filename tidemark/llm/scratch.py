@@ -24,6 +24,17 @@ class Scratch:
         out._tidemark_path = path
         return out
 
+    def buckets(self, df: DataFrame, key: str) -> DataFrame:
+        """As ``table``, but dealt by ``key``: joins on it move the other side only."""
+        self.n += 1
+        name, path = f"tidemark_{self.top.rsplit('/', 1)[1]}_{self.n}", f"{self.top}/{self.n}"
+        count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(count, key).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name; the files stay, and ``out`` knows them
+        out._tidemark_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that no unread result needs."""
         jvm = self.spark._jvm

@@ -17,8 +17,13 @@ travel together as a stretch:
    ``k`` words occurs elsewhere ends a repeated window.
 3. Spans and texts meet by the text's digest, and each text is cut once.
 
-Equal texts are one text with a weight.  An anchor with over ``SHARD`` distinct
-stretches is not built in one task: its windows are dealt by their own hash.
+An anchor with over ``SHARD`` distinct stretches is not built in one task: its
+stretches are cut again by longer anchors (see ``anchors``) and meet under
+these, as often as needed; the last one is the whole window, where only equal
+windows meet, so every shard is bounded and an automaton decides in each.
+
+Equal texts are one text with a weight.  Texts are dealt by their digest once
+and kept in buckets, where steps 2 and 3 join them without another shuffle.
 
 Defined results: a null text has no words; texts under ``k`` words lose
 nothing; repeated rows are copies of each other; other columns are ignored.
@@ -27,6 +32,7 @@ nothing; repeated rows are copies of each other; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,73 +46,99 @@ ANCHOR = 8
 #: Windows in a stretch at most.
 STRETCH = 256
 #: Distinct stretches of an anchor that one task takes.
-SHARD = 2000
+SHARD = 1000
 
 WHOLE, ASKED, HOT = 0, 1, 2
 #: Mark of a place whose content its batch has elsewhere too.
 REPEATED = 1 << 62
 
 
+def anchors(k: int) -> list[int]:
+    """Words of an anchor: the usual one, a longer one for hot anchors, and the window."""
+    first = min(ANCHOR, k)
+    return sorted({first, (first + k) // 2, k})
+
+
 class SuffixAutomaton:
-    """Of several word sequences with weights; ``count`` is how often a state's words occur."""
+    """Of several word sequences with weights; ``count`` is how often a state's words occur.
+
+    A state is a number in flat arrays; its first transition is too, and only branching states have a table.
+    """
 
     def __init__(self):
-        self.next: list[dict] = [{}]
-        self.link, self.length, self.count = [-1], [0], [0]
+        self.ids: dict[int, int] = {}
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length, self.count = array("i", [-1]), array("i", [0]), array("q", [0])
+
+    def _next(self, state: int, w: int) -> int:
+        """Where ``w`` leads, or -1."""
+        if self.word[state] == w:
+            return self.to[state]
+        more = self.more.get(state)
+        return more.get(w, -1) if more else -1
+
+    def _set(self, state: int, w: int, to: int) -> None:
+        if self.word[state] in (-1, w):
+            self.word[state], self.to[state] = w, to
+        else:
+            self.more.setdefault(state, {})[w] = to
+
+    def _state(self, length: int, count: int) -> int:
+        self.word.append(-1)
+        self.to.append(-1)
+        self.length.append(length)
+        self.count.append(count)
+        self.link.append(0)
+        return len(self.word) - 1
 
     def add(self, words: list[int], weight: int) -> None:
-        nxt, link, length, count = self.next, self.link, self.length, self.count
+        ids, word, to, more, link, length, count = self.ids, self.word, self.to, self.more, self.link, self.length, self.count
         last = 0
-        for w in words:
-            seen = nxt[last].get(w)
-            if seen is not None and length[seen] == length[last] + 1:
-                last = seen
+        for w in [ids.setdefault(w, len(ids)) for w in words]:
+            # As _next and _set say, written out for speed.
+            seen = to[last] if word[last] == w else more[last].get(w, -1) if last in more else -1
+            if seen >= 0:
+                last = seen if length[seen] == length[last] + 1 else self._clone(last, seen, w)
                 count[last] += weight
                 continue
-            if seen is not None:
-                new = self._clone(last, seen, w)
-                last = new
-                count[last] += weight
-                continue
-            new = len(nxt)
-            nxt.append({})
-            length.append(length[last] + 1)
-            count.append(weight)
-            link.append(0)
-            p = last
-            while p >= 0 and w not in nxt[p]:
-                nxt[p][w] = new
+            new, p, q = self._state(length[last] + 1, weight), last, -1
+            while p >= 0:
+                if word[p] < 0:
+                    word[p], to[p] = w, new
+                else:
+                    q = to[p] if word[p] == w else more[p].get(w, -1) if p in more else -1
+                    if q >= 0:
+                        break
+                    self._set(p, w, new)
                 p = link[p]
             if p >= 0:
-                q = nxt[p][w]
                 link[new] = q if length[q] == length[p] + 1 else self._clone(p, q, w)
             last = new
 
     def _clone(self, p: int, q: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        new = len(nxt)
-        nxt.append(dict(nxt[q]))
-        length.append(length[p] + 1)
-        self.count.append(0)
-        link.append(link[q])
-        link[q] = new
-        while p >= 0 and nxt[p].get(w) == q:
-            nxt[p][w] = new
-            p = link[p]
+        new = self._state(self.length[p] + 1, 0)
+        self.word[new], self.to[new] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[new] = dict(self.more[q])
+        self.link[new], self.link[q] = self.link[q], new
+        while p >= 0 and self._next(p, w) == q:
+            self._set(p, w, new)
+            p = self.link[p]
         return new
 
     def finish(self) -> None:
         """Adds every state's count to the state of its longest other suffix."""
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
+        for s in np.argsort(np.asarray(self.length), kind="stable")[:0:-1].tolist():
             if self.link[s] > 0:
                 self.count[self.link[s]] += self.count[s]
 
     def repeated(self, words: list[int], k: int) -> list[int]:
         """Starts of the sequence's windows of ``k`` words that occur more than once."""
-        nxt, link, length, count = self.next, self.link, self.length, self.count
+        ids, word, to, more, link, length, count = self.ids, self.word, self.to, self.more, self.link, self.length, self.count
         state, out = 0, []
-        for i, w in enumerate(words):
-            state = nxt[state][w]
+        for i, w in enumerate([ids[w] for w in words]):
+            state = to[state] if word[state] == w else more[state][w]
             while length[link[state]] >= k:
                 state = link[state]
             if length[state] >= k and i >= k - 1 and count[state] > 1:
@@ -114,10 +146,9 @@ class SuffixAutomaton:
         return out
 
 
-def stretches(hashes: np.ndarray, k: int):
-    """Anchor, content hash, start and number of windows of each stretch."""
+def _runs(hashes: np.ndarray, k: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first window and number of windows of each run of windows with one anchor, the least hash of their runs of ``anchor`` words."""
     n = len(hashes) - k + 1
-    anchor = min(ANCHOR, k)
     least = windows(hashes, anchor)
     span, have = k - anchor + 1, 1
     while have < span:  # least over ``span`` neighbours, by doubling
@@ -125,15 +156,23 @@ def stretches(hashes: np.ndarray, k: int):
         least = np.minimum(least[:-by], least[by:])
         have += by
     cut = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    ends = np.r_[cut[1:], n]
-    if (ends - cut).max() > STRETCH:
-        cut = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(cut, ends, strict=True)])
-        ends = np.r_[cut[1:], n]
+    return least[cut], cut, np.diff(np.r_[cut, n])
+
+
+def stretches(hashes: np.ndarray, k: int):
+    """Anchor, content hash, start and number of windows of each stretch."""
+    least, cut, n = _runs(hashes, k, anchors(k)[0])
+    if n.max() > STRETCH:
+        parts = -(-n // STRETCH)
+        least = np.repeat(least, parts)
+        cut = np.concatenate([np.arange(a, a + m, STRETCH) for a, m in zip(cut, n, strict=True)])
+        n = np.diff(np.r_[cut, len(hashes) - k + 1])
+    ends = cut + n
     power, inverse = _grown(np.ones(1, np.uint64), BASE, len(hashes) + 1), _grown(np.ones(1, np.uint64), BASE_INVERSE, len(hashes) + 1)
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
     content = mix((sums[ends + k - 1] - sums[cut]) * inverse[cut] + (ends - cut).astype(np.uint64))
-    return least[cut], content, cut, ends - cut
+    return least, content, cut, n
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -182,7 +221,7 @@ def _batch(rows, schema: pa.Schema) -> pa.RecordBatch:
 
 _TOLD = pa.schema([("anchor", pa.int64()), ("key", pa.binary()), ("at", pa.int64()), ("kind", pa.int32()), ("weight", pa.int32())])
 _ASKED = pa.schema([("anchor", pa.int64()), ("key", pa.binary()), ("at", pa.int64()), ("weight", pa.int32()), ("words", pa.binary())])
-_SPANS = pa.schema([("key", pa.binary()), ("at", pa.int64())])
+_MATCHED = pa.schema([("key", pa.binary()), ("at", pa.int64()), ("kind", pa.int32()), ("weight", pa.int32())])
 
 
 class _Anchor:
@@ -244,19 +283,21 @@ def _classify(batches):
     yield _batch(out, _TOLD)
 
 
-def _words(k: int):
-    """The words of the stretches that are asked for; a hot anchor's go as single windows under their own hash."""
+def _words(k: int, level: int):
+    """The words of the stretches that are asked for; a hot one's are cut by the anchors of ``level``."""
+    anchor, seed = anchors(k)[level], np.uint64(level + 1)
 
     def run(batches):
         rows = []
         for batch in batches:
             for key, text, asked in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 key, hashes = key.as_py(), _hashes(text.as_py())
-                own = windows(hashes, k).view(np.int64)
                 for x in asked.as_py():
                     start, n = x["at"] >> 16, x["at"] & 0xFFFF
                     if x["kind"] == HOT:
-                        rows += [(int(own[i]), key, i << 16 | 1, x["weight"], hashes[i : i + k].tobytes()) for i in range(start, start + n)]
+                        least, cut, count = _runs(hashes[start : start + n + k - 1], k, anchor)
+                        for own, a, m in zip(mix(least ^ seed).view(np.int64).tolist(), (start + cut).tolist(), count.tolist(), strict=True):
+                            rows.append((own, key, a << 16 | m, x["weight"], hashes[a : a + m + k - 1].tobytes()))
                     else:
                         rows.append((x["anchor"], key, x["at"], x["weight"], hashes[start : start + n + k - 1].tobytes()))
                     if len(rows) > 5000:
@@ -267,14 +308,17 @@ def _words(k: int):
     return run
 
 
-def _match(k: int):
-    """Repeated windows of each anchor's stretches, by the shard's automaton; rows are sorted by anchor and words."""
+def _match(k: int, last: bool):
+    """Repeated windows of each anchor's stretches, by the shard's automaton; rows are sorted by anchor and words.
+
+    Stretches of an anchor with more than SHARD of them are given as HOT, except at the ``last`` level.
+    """
 
     def shard(rows):
         if len(rows) == 1:
             key, at, weight, _ = rows[0]
             if weight > 1:
-                yield key, at
+                yield key, at, WHOLE, 2
             return
         automaton = SuffixAutomaton()
         rows = [(key, at, weight, np.frombuffer(words, np.uint64).tolist()) for key, at, weight, words in rows]
@@ -286,26 +330,34 @@ def _match(k: int):
             if len(found):
                 cut = np.flatnonzero(np.r_[True, np.diff(found) > 1])
                 for a, n in zip(found[cut].tolist(), np.diff(np.r_[cut, len(found)]).tolist(), strict=True):
-                    yield key, ((at >> 16) + a) << 16 | n
+                    yield key, ((at >> 16) + a) << 16 | n, WHOLE, 2
+
+    def again(rows):
+        return [(key, at, HOT, weight) for key, at, weight, _ in rows]
 
     def run(batches):
-        anchor, rows, out = None, [], []
+        anchor, rows, hot, out = None, [], False, []
         for batch in batches:
             for own, key, at, weight, words in zip(*(batch.column(i) for i in range(5)), strict=True):
                 own, row = own.as_py(), [key.as_py(), at.as_py(), weight.as_py(), words.as_py()]
                 if own != anchor:
-                    out.extend(shard(rows) if rows else ())
-                    anchor, rows = own, []
+                    out.extend(again(rows) if hot else shard(rows) if rows else ())
+                    anchor, rows, hot = own, [], False
                 if rows and rows[-1][3] == row[3]:  # equal words are neighbours: one is kept, with a weight
                     rows[-1][2] = 2
-                    out.append((row[0], row[1]))
+                    out.append((row[0], row[1], WHOLE, 2))
                 else:
+                    if len(rows) >= SHARD and not last:
+                        hot = True
+                    if hot and rows:
+                        out.extend(again(rows))
+                        rows = []
                     rows.append(row)
             if len(out) > 20_000:
-                yield _batch(out, _SPANS)
+                yield _batch(out, _MATCHED)
                 out = []
-        out.extend(shard(rows) if rows else ())
-        yield _batch(out, _SPANS)
+        out.extend(again(rows) if hot else shard(rows) if rows else ())
+        yield _batch(out, _MATCHED)
 
     return run
 
@@ -367,17 +419,25 @@ def cut_texts(docs: DataFrame, text_col: str = "text", k: int = 35, keep_text: b
     """One row for each distinct text: ``key`` (see text_key), ``n_words``, ``n_removed``, ``kept_sha256`` and, on request, ``kept``."""
     scratch = Scratch(docs.sparkSession)
     base = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    texts = base.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = scratch.buckets(base.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "key")
 
     places = base.mapInArrow(_places(k), "anchor long, content long, key binary, at long")
     told = places.repartition("anchor").sortWithinPartitions("anchor", "content", "key", "at").mapInArrow(_classify, "anchor long, key binary, at long, kind int, weight int")
     told = scratch.table(told)
-    asked = told.filter(F.col("kind") != WHOLE).groupBy("key").agg(F.collect_set(F.struct("anchor", "at", "kind", "weight")).alias("asked"))
-    words = texts.join(asked, "key").select("key", "text", "asked").mapInArrow(_words(k), "anchor long, key binary, at long, weight int, words binary")
-    matched = words.repartition("anchor").sortWithinPartitions("anchor", "words", "key", "at").mapInArrow(_match(k), "key binary, at long")
-    matched = scratch.table(matched)
-    spans = told.filter(F.col("kind") == WHOLE).select("key", "at").unionByName(matched).groupBy("key").agg(F.collect_set("at").alias("spans"))
-    joined = texts.join(spans, "key", "left").select("key", "text", "copies", "spans")
+    asked = told.filter(F.col("kind") != WHOLE)
+    spans = told.filter(F.col("kind") == WHOLE).select("key", "at")
+    levels = range(1, len(anchors(k)))
+    for level in levels or [0]:
+        listed = asked.groupBy("key").agg(F.collect_set(F.struct("anchor", "at", "kind", "weight")).alias("asked"))
+        words = texts.join(listed.hint("shuffle_merge"), "key").select("key", "text", "asked").mapInArrow(_words(k, level), "anchor long, key binary, at long, weight int, words binary")
+        matched = words.repartition("anchor").sortWithinPartitions("anchor", "words", "key", "at").mapInArrow(_match(k, level == max(levels, default=0)), "key binary, at long, kind int, weight int")
+        matched = scratch.table(matched)
+        spans = spans.unionByName(matched.filter(F.col("kind") == WHOLE).select("key", "at"))
+        asked = matched.filter(F.col("kind") == HOT).withColumn("anchor", F.lit(0).cast("long"))
+        if asked.isEmpty():
+            break
+    spans = spans.groupBy("key").agg(F.collect_set("at").alias("spans"))
+    joined = texts.join(spans.hint("shuffle_merge"), "key", "left").select("key", "text", "copies", "spans")
     return joined.mapInArrow(_cut(k, keep_text), "key binary, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
 
 
