@@ -51,7 +51,7 @@ def windows_cut(texts, k):
         yield len(w), sum(gone), kept
 
 
-@pytest.mark.parametrize("seed,k,shard", [(1, 35, None), (2, 12, None), (3, 12, 3), (4, 5, 2)])
+@pytest.mark.parametrize("seed,k,shard", [(1, 35, None), (2, 12, None), (3, 12, 3), (4, 5, 2), (6, 35, 2)])
 def test_substring_dedup_is_exact(spark, monkeypatch, seed, k, shard):
     if shard:  # anchors with more stretches go the other way
         monkeypatch.setattr(substring_dedup, "SHARD", shard)
@@ -145,11 +145,82 @@ def test_ngram_join_loses_no_link(spark, monkeypatch, seed, small, block):
 def test_ngram_join_odd_tables(spark):
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c, d e f"), (3, "other words"), (None, None)], "doc_id long, text string")
     out = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in ngram_join.ngram_join(rows).collect())
-    assert out == [(0, 0, 0), (1, 1, 1), (2, 1, 1), (3, 3, 0)]
+    assert out == [(0, 0, 0), (0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 3, 0)]
     assert sorted(r["doc_id"] or 0 for r in ngram_join.keep_one(rows).collect()) == [0, 0, 1, 3]
     assert ngram_join.ngram_join(rows.limit(0)).count() == 0
 
 
+def test_ngram_join_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("b", "a b c d e f", "x"), ("a", "A b c d e, f", "x"), ("c", "other words", "x"), (None, "a b c d e f", "x")], "doc_id string, text string, node string")
+    out = sorted(tuple(x or "" for x in r) for r in ngram_join.ngram_join(rows).collect())
+    assert out == [("", "", "", ""), ("a", "a", "a", 1), ("b", "a", "a", 1), ("c", "c", "c", "")]
+    assert sorted(r["doc_id"] or "" for r in ngram_join.keep_one(rows).collect()) == ["", "a", "c"]
+    small = ngram_join.ngram_join(rows.selectExpr("cast(ascii(doc_id) as smallint) AS doc_id", "text"))
+    assert small.schema["class_id"].dataType.simpleString() == "smallint" and small.filter("n_links = 1").count() == 2
+
+
+def test_keep_one_keeps_the_text_that_was_compared(spark):
+    one, other = "a b c d e f g", "h i j k l m n"
+    for texts in ([one, other], [other, one]):
+        rows = spark.createDataFrame([(2, t) for t in texts] + [(1, one)], "doc_id long, text string")
+        compared = min(texts, key=lambda t: hashlib.md5(t.encode()).digest())
+        kept = sorted(tuple(r) for r in ngram_join.keep_one(rows).collect())
+        assert kept == ([(1, one)] if compared == one else [(1, one), (2, other)])
+
+
+def test_ngram_join_of_long_texts(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    texts = [" ".join(words), " ".join(words[:190_000]), " ".join(words[:100_000]), "x" * 3_000_000]
+    out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs(spark, texts)).collect()}
+    assert out == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0)}
+
+
+def test_ngram_join_parts_chains(spark, monkeypatch):
+    """Texts that are a little like the next one: a cluster of sketches, not one of links, and no pairs of it are compared."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    words = [f"w{i}" for i in range(10_000)]
+    chain = [" ".join(words[17 * i : 17 * i + 104]) for i in range(200)]  # similar by 0.71, 0.49, ...
+    members, clusters = [], []
+    compared, parted = ngram_join._compared, ngram_join._parted
+    monkeypatch.setattr(ngram_join, "_compared", lambda m, *rest: members.append(m.count()) or compared(m, *rest))
+    monkeypatch.setattr(ngram_join, "_parted", lambda c, *rest: clusters.append(c.count()) or parted(c, *rest))
+    texts = [*chain, chain[50] + " more", *near_copies(3, 30, 20)]
+    out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs(spark, texts)).collect()}
+    links = jaccard_links(texts)
+    count = Counter(x for pair in links for x in pair)
+    assert out == {i: (g, count[i]) for i, g in enumerate(groups(len(texts), links))}
+    assert clusters[0] > 200 and members[-1] < 60 and members[0] < 30 * len(chain)
+
+
+def test_paths_split_buckets_until_they_are_small(spark, monkeypatch):
+    """Texts with a common passage and little else in common: large buckets that further steps split."""
+    monkeypatch.setattr(ngram_join, "SMALL", 6)
+    monkeypatch.setattr(ngram_join, "BUCKET", 8)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passages = [[word() for _ in range(12)] for _ in range(12)]
+    texts = []
+    for i in range(160):
+        own = [w for p in rng.sample(passages, 6) for w in p] + [word() for _ in range(30)]
+        texts.append(" ".join(own))
+        if i % 4 == 0:
+            texts.append(" ".join([*own, word()]))
+    depths = []
+    deeper = ngram_join._deeper
+    monkeypatch.setattr(ngram_join, "_deeper", lambda *a: depths.append(1) or deeper(*a))
+    out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs(spark, texts)).collect()}
+    links = jaccard_links(texts)
+    count = Counter(x for pair in links for x in pair)
+    assert depths and len(links) >= 40
+    assert out == {i: (g, count[i]) for i, g in enumerate(groups(len(texts), links))}
+
+
+def test_recall_falls_slowly_with_depth():
+    runs = ngram_join.runs_for(0.999)
+    assert ngram_join.recall_at(2, runs) >= 0.999 and ngram_join.recall_at(ngram_join.DEPTH, runs) >= 0.94
+
+
 def test_runs_reach_the_recall():
     assert ngram_join.runs_for(0.999) > ngram_join.runs_for(0.9) > 1
 
@@ -201,19 +272,54 @@ def test_ngram_join_counts_repeated_rows_once(spark):
         out = ngram_join.ngram_join(rows.union(rows).union(rows)).collect()
     finally:
         spark.conf.unset(size)
-    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == [(1, 1, 1), (2, 1, 1)]
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == [(1, 1, 1)] * 3 + [(2, 1, 1)] * 3
 
 
 def test_embedding_dedup_odd_tables(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.0], 2), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     out = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embed_dedup.embedding_dedup(rows).collect())
-    assert out == [(0, 0, 0, False), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    assert out == [(0, 0, 0, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    twice = embed_dedup.embedding_dedup(rows.filter("vec_id IS NULL").union(rows).union(rows.filter("vec_id IS NULL"))).collect()
+    assert sum(r["vec_id"] is None and not r["kept"] and r["n_links"] == 0 for r in twice) == 3
+    named = embed_dedup.embedding_dedup(rows.selectExpr("concat('v', vec_id) AS vec_id", "embedding", "label", "1 AS node", "2 AS kept")).collect()
+    assert sorted((r["vec_id"] or "", r["n_links"], r["component_id"] or "", r["kept"]) for r in named) == [("", 0, "", False), ("v1", 1, "v1", True), ("v1", 1, "v1", True), ("v2", 1, "v1", False), ("v3", 0, "v3", True)]
     assert embed_dedup.embedding_dedup(rows.limit(0)).count() == 0
     far = spark.createDataFrame([(1, [1e300, 1e300], 1), (2, [1e-300, 1e-300], 1), (3, [-1e300, 1e300], 1), (4, [5e-324, 0.0], 1), (5, [2.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
     out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.embedding_dedup(far).collect())
     assert out == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
 
 
+def test_cells_hold_every_vector_within_reach():
+    """For clustered and for random vectors: whoever is within the radius is copied, and pivots that don't help are not used."""
+    rng = np.random.default_rng(4)
+    radius = np.sqrt(2 - 2 * 0.93)
+    centres = embed_dedup._unit(rng.normal(size=(60, 16)))
+    near = embed_dedup._unit(centres[rng.integers(0, 60, 800)] + 0.05 * rng.normal(size=(800, 16)))
+    wide = embed_dedup._unit(rng.normal(size=(800, 64)))
+    for units, useful in ((near, True), (wide, False)):
+        pivots = units[:40]
+        home, reach = embed_dedup.reached(embed_dedup._distances(units, pivots), embed_dedup._distances(pivots, pivots), radius)
+        for i, j in zip(*np.nonzero(units @ units.T >= 0.93), strict=True):
+            assert reach[i, home[j]]
+        assert embed_dedup.useful(pivots, radius) == useful
+
+
+def test_cells_take_little_memory():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 2000), pa.array(range(2000)), pa.array([1] * 2000), pa.array(rng.normal(size=(2000, 64)).tolist())], ["label", "node", "copies", "vector"])
+    pivots = SimpleNamespace(value={"a/64": rng.normal(size=(2048, 64)).tolist()})
+    tracemalloc.start()
+    n = sum(b.num_rows for b in embed_dedup._cells(pivots, np.sqrt(2 - 2 * 0.93))(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= 2000 and peak < 300_000_000
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 470)] + [(500, 500 + i) for i in range(1, 60)]

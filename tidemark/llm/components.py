@@ -1,4 +1,4 @@
-"""Connected components of an edge table, distributed: alternating large and small stars until nothing changes."""
+"""Connected components of an edge table, distributed: alternating large and small stars until nothing changes; whole numbers for ids."""
 
 from __future__ import annotations
 
@@ -61,3 +61,28 @@ def forest(linked, n: int) -> list[tuple[int, int]]:
                 queue += found
                 rest = rest[~hit]
     return edges
+
+
+class Numbered:
+    """Rows with their column ``id`` as whole numbers in the order of the ids; ids that are whole numbers are their own."""
+
+    def __init__(self, rows: DataFrame, scratch: Scratch):
+        self.ids = rows.select("id")
+        if rows.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+            self.kind, self.numbers = rows.schema["id"].dataType, None
+            self.rows = rows.withColumn("id", F.col("id").cast("long"))
+            return
+        # A sorted table's partitions are in order, so numbers that grow within and between them keep it.
+        own = rows.select("id").filter(F.col("id").isNotNull()).distinct().orderBy("id")
+        self.numbers = scratch.table(own.select("id", F.monotonically_increasing_id().alias("number")))
+        self.rows = rows.join(self.numbers, "id", "left").withColumn("id", F.col("number")).drop("number")
+
+    def back(self, found: DataFrame, names: list[str]) -> DataFrame:
+        """``found`` by ``id``, joined to the ids of the rows, one row for each; ``names`` are columns with ids too."""
+        if self.numbers is None:
+            found = found.select(F.col("id").alias("_n"), *(F.col(c).cast(self.kind).alias(c) if c in names else F.col(c) for c in found.columns if c != "id"))
+            return self.ids.join(found, F.col("id") == F.col("_n"), "left").drop("_n")
+        for name in ["id", *names]:
+            own = self.numbers.select(F.col("number").alias("_n"), F.col("id").alias("_id"))
+            found = found.join(own, F.col(name) == F.col("_n"), "left").drop(name, "_n").withColumnRenamed("_id", name)
+        return self.ids.join(found.withColumnRenamed("id", "_n"), F.col("id") == F.col("_n"), "left").drop("_n")

@@ -5,18 +5,25 @@ those of its shingles whose hash under the run is below ``1 / (threshold *
 size)``: 1.25 on average at 0.8, and two sets with that similarity share one or
 more of them on average.  A chosen shingle is a bucket.  Buckets of at most
 ``SMALL`` classes are compared; those with more are split again by the shingles
-chosen under the bucket's own path.  Runs are repeated until a pair at the
-threshold meets with probability ``recall``.
+chosen under the bucket's own path, and so on, until they are small, or ``DEPTH``
+is reached, or a bucket keeps half of the one it comes from: then its classes
+are mostly alike, no path tells them apart, and it is compared in blocks.  Runs
+are repeated until a pair at the threshold meets with probability ``recall`` in
+two steps (see ``recall_at`` for more of them).
 
 Buckets are compared by sketches of ``BINS`` bytes with a slack of many standard
 deviations, and only the edges of a spanning forest leave a task.  The clusters
-these give are then compared exactly: all pairs of a cluster, in blocks, so that
-a cluster of near copies never fills one task and no pair is emitted.
+these give are candidates.  One of many blocks without a bucket that holds half
+of it is a chain of texts that are only a little alike: its buckets are compared
+exactly, which parts it.  Then all pairs of a cluster are compared exactly, in
+blocks, so that a cluster of near copies never fills one task and no pair is
+emitted.
 
 Defined results: see ``words.shingles`` for words and short texts; a text
-without words links with nothing; rows with one id are one document (of texts
-that differ, the one with the least digest); a null id gives a row without
-class and links; other columns are ignored.
+without words links with nothing; each row gives a row; rows with one id are one
+document (of texts that differ, the one with the least digest); a null id has no
+class and no links; ids may be of any type that has an order; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +33,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components, forest
+from tidemark.llm.components import Numbered, components, forest
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.words import mix, shingles
 
-#: Bytes of a sketch; classes of a bucket that is not split again; sketches in a block (1 MB of them).
-BINS, SMALL, BUCKET = 128, 64, 8192
+#: Bytes of a sketch; classes of a bucket that is not split again; sketches in a block.
+BINS, SMALL, BUCKET = 128, 64, 1024
+#: Steps of a path at most; share of a bucket that no further step would split.
+DEPTH, DENSE = 6, 0.5
 #: Classes and shingles in a block of the exact comparison.
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
 #: Sketches that agree in less than this share below the threshold are not looked at: 5 standard deviations.
@@ -42,11 +51,22 @@ SLACK = 0.18
 COLUMNS = 8192
 
 
+def _meets(depth: int) -> float:
+    """Chance that a pair at the threshold shares a path of ``depth`` steps in one run: it shares a chosen shingle with 1 - 1/e, and so on below it."""
+    out = 1.0
+    for _ in range(depth):
+        out = 1 - math.exp(-out)
+    return out
+
+
 def runs_for(recall: float) -> int:
-    """Runs until a pair at the threshold meets: it shares a chosen shingle with 1 - 1/e, and again below it."""
-    once = 1 - math.exp(-1)
-    twice = 1 - math.exp(-once)
-    return math.ceil(math.log(1 - recall) / math.log(1 - twice))
+    """Runs until a pair at the threshold meets in two steps."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - _meets(2)))
+
+
+def recall_at(depth: int, runs: int) -> float:
+    """Chance that a pair at the threshold meets where buckets are split down to ``depth``."""
+    return 1 - (1 - _meets(depth)) ** runs
 
 
 def _seed(n: int) -> np.uint64:
@@ -80,7 +100,7 @@ def alike(sketches: np.ndarray, least: float):
     return linked
 
 
-_SETS = "id {kind}, set binary, size int, sketch binary, paths array<long>, deep array<long>, parents array<long>"
+_SETS = "id long, digest binary, set binary, size int, sketch binary, paths array<long>, deep array<long>, parents array<long>"
 
 
 def _sets(k: int, threshold: float, runs: int):
@@ -107,7 +127,7 @@ def _sets(k: int, threshold: float, runs: int):
                     row = known[digest] = (digest, len(own), sketch(own), flat(first), flat(np.concatenate(deep)) if deep else flat([]), flat(parents))
                 rows.append(row)
             kinds = (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["id", "set", "size", "sketch", "paths", "deep", "parents"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["id", "digest", "set", "size", "sketch", "paths", "deep", "parents"])
 
     return run
 
@@ -255,73 +275,137 @@ def _links(threshold: float):
     return run
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5, recall: float = 0.999) -> DataFrame:
-    """One row for each id: ``class_id`` (least id that links reach), ``copy_of`` (least id with the same shingles), ``n_links`` (other documents with a similarity of ``threshold`` or more).
+def _deeper(k: int, threshold: float):
+    """(path, node, parent) one step on from the large buckets of each class."""
 
-    Ids are whole numbers.
-    """
-    scratch = Scratch(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = scratch.table(base.mapInArrow(_sets(k, threshold, runs_for(recall)), _SETS.format(kind="long")))
-    ids = scratch.table(sets.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("set").alias("set")))
-    classes = ids.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    # Of a class its least id stands for it; its row has all that equal sets share.
-    nodes = scratch.table(classes.join(sets.filter(F.col("set").isNotNull()), (classes.node == sets.id) & (classes.set == sets.set)).select("node", classes.set, "copies", "size", "sketch", "paths", "deep", "parents").dropDuplicates(["node"]))
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for node, parents, text, digest in zip(*(batch.column(i) for i in range(4)), strict=True):
+                own = shingles(text.as_py(), k)
+                if not len(own) or hashlib.blake2b(own.tobytes(), digest_size=16).digest() != digest.as_py():
+                    continue
+                for parent in parents.as_py():
+                    rows += [(path, node.as_py(), parent) for path in chosen(own, np.int64(parent).view(np.uint64), threshold).view(np.int64).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["path", "node", "parent"])
 
-    small, large = met(nodes.select("node", F.explode("paths").alias("path")), SMALL)
-    small, large = scratch.table(small), scratch.table(large)
-    split = large.join(nodes.select("node", F.explode(F.arrays_zip("deep", "parents")).alias("d")).select("node", F.col("d.deep").alias("to"), F.col("d.parents").alias("path")), ["node", "path"]).select("node", F.col("to").alias("path"))
-    deeper, huge = met(split, BUCKET)
-    deeper, huge = scratch.table(deeper), scratch.table(huge)
+    return run
 
-    # Equal buckets are compared once.
-    lists = small.unionByName(deeper).groupBy(F.xxhash64("members").alias("path"), "members").count().select("path", "members", F.explode("members").alias("node"))
-    lists = lists.select(F.xxhash64("members", F.lit("list")).alias("path"), F.hash("members").alias("one"), F.size("members").alias("two"), "node")
-    counts = huge.groupBy("path").agg(F.ceil(F.count("*") / BUCKET).alias("blocks"))
-    blocks = block_pairs(huge.join(counts, "path"), "path", "blocks").select("path", "one", "two", "node")
-    compared = lists.unionByName(blocks).join(nodes.select("node", "sketch"), "node").select("path", "one", "two", "node", "sketch")
-    edges = compared.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two", "node").mapInArrow(_edges(threshold - SLACK), "a long, b long")
-    clusters = scratch.table(components(edges, scratch))
 
-    members = clusters.join(nodes.select("node", "copies", "size"), "node")
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = block_pairs(members.join(sizes, "component"), "component", "blocks").groupBy("node", "copies", "component", "own").agg(F.collect_list(F.struct("one", "two")).alias("tasks"))
-    texts = placed.join(base, F.col("node") == F.col("id")).join(classes.select(F.col("node").alias("c_node"), "set"), F.col("node") == F.col("c_node"))
+def _buckets_of(nodes: DataFrame, texts: DataFrame, k: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members of small buckets, and (path, node) of those that no path splits further."""
+    small, large = met(nodes.select("node", F.explode("paths").alias("path")), SMALL)
+    small, large = scratch.table(small), scratch.table(large)
+    dense = large.limit(0)
+    for depth in range(2, DEPTH + 1):
+        if large.isEmpty():
+            break
+        if depth == 2:  # the second step was taken with the first
+            steps = nodes.select("node", F.explode(F.arrays_zip("deep", "parents")).alias("d")).select("node", F.col("d.deep").alias("to"), F.col("d.parents").alias("path"))
+            split = large.join(steps, ["node", "path"]).select(F.col("to").alias("path"), "node", F.col("path").alias("parent"))
+        else:
+            # Written, so that Spark knows its size and moves the texts only where it is large.
+            asked = scratch.table(large.groupBy("node").agg(F.collect_list("path").alias("parents")))
+            split = asked.join(texts, "node").select("node", "parents", "text", "set").mapInArrow(_deeper(k, threshold), "path long, node long, parent long").distinct()
+        split = scratch.table(split)
+        found, more = met(split, SMALL)
+        small, more = small.unionByName(scratch.table(found)), scratch.table(more)
+        before = large.groupBy(F.col("path").alias("parent")).agg(F.count("*").alias("before"))
+        after = more.groupBy("path").agg(F.count("*").alias("after"))
+        stays = after.join(split.select("path", "parent").distinct(), "path").join(before, "parent").filter(F.col("after") > DENSE * F.col("before")).select("path").distinct()
+        dense = dense.unionByName(scratch.table(more.join(stays, "path", "left_semi")))
+        large = scratch.table(more.join(stays, "path", "left_anti"))
+    return small, dense.unionByName(large)
+
+
+def _compared(members: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Exact links (see ``_links``) of the members (group, node, copies, size) of groups, block by block."""
+    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = block_pairs(members.join(sizes, "group"), "group", "blocks").groupBy("node", "copies").agg(F.collect_list(F.struct("group", "one", "two", "own")).alias("tasks"))
 
     def again(batches):
         for batch in batches:
             rows, seen = [], set()
-            for node, copies, component, own, tasks, text, digest in zip(*(batch.column(i) for i in range(7)), strict=True):
+            for node, copies, tasks, text, digest in zip(*(batch.column(i) for i in range(5)), strict=True):
                 values = shingles(text.as_py(), k).tobytes()
                 if node.as_py() in seen or hashlib.blake2b(values, digest_size=16).digest() != digest.as_py():
                     continue
                 seen.add(node.as_py())
-                rows += [(component.as_py(), t["one"], t["two"], node.as_py(), copies.as_py(), own.as_py(), values) for t in tasks.as_py()]
-                if len(rows) > 500:
-                    yield _sent(rows)
-                    rows = []
+                for t in tasks.as_py():
+                    rows.append((t["group"], t["one"], t["two"], node.as_py(), copies.as_py(), t["own"], values))
+                    if len(rows) > 500:
+                        yield _sent(rows)
+                        rows = []
             yield _sent(rows)
 
-    sent = texts.select("node", "copies", "component", "own", "tasks", "text", "set").mapInArrow(again, "component long, one int, two int, node long, copies long, own int, shingles binary")
-    linked = scratch.table(sent.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", "node").mapInArrow(_links(threshold), "node long, other long, links long"))
-    scratch.drop(nodes, small, large, deeper, huge, clusters)
+    sent = placed.join(texts, "node").select("node", "copies", "tasks", "text", "set").mapInArrow(again, "group long, one int, two int, node long, copies long, own int, shingles binary")
+    return sent.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two", "node").mapInArrow(_links(threshold), "node long, other long, links long")
+
+
+def _edges_of(linked: DataFrame) -> DataFrame:
+    return linked.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+
+def _parted(clusters: DataFrame, buckets: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """The clusters, with chains parted: those of several blocks of which no bucket holds half are those of exact links in their buckets."""
+    large = clusters.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    members = scratch.table(buckets.join(clusters.join(large, "component"), "node"))
+    if members.isEmpty():
+        return clusters
+    most = members.groupBy("component", "n", "path").count().groupBy("component", "n").agg(F.max("count").alias("most"))
+    chains = scratch.table(most.filter(F.col("most") < DENSE * F.col("n")).select("component"))
+    if chains.isEmpty():
+        return clusters
+    own = members.join(chains, "component").select(F.col("path").alias("group"), "node").join(nodes.select("node", "copies", "size"), "node")
+    linked = scratch.table(_compared(own, texts, k, threshold))
+    return scratch.table(clusters.join(chains, "component", "left_anti").select("node", "component").unionByName(components(_edges_of(linked), scratch)))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5, recall: float = 0.999) -> DataFrame:
+    """One row for each row: id, ``class_id`` (least id that links reach), ``copy_of`` (least id with the same shingles), ``n_links`` (other documents with a similarity of ``threshold`` or more)."""
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    numbered = Numbered(rows, scratch)
+    found = _joined(numbered.rows, threshold, k, recall, scratch)
+    out = numbered.back(found, ["class_id", "copy_of"])
+    return out.select(F.col("id").alias(id_col), "class_id", "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _joined(base: DataFrame, threshold: float, k: int, recall: float, scratch: Scratch) -> DataFrame:
+    """``id``, ``class_id``, ``copy_of`` and ``n_links`` of each long id of the rows (id, text)."""
+    base = base.filter(F.col("id").isNotNull())
+    sets = scratch.table(base.select("id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")).mapInArrow(_sets(k, threshold, runs_for(recall)), _SETS))
+    ids = scratch.table(sets.groupBy("id").agg(F.min(F.struct("digest", "set")).alias("s")).select("id", "s.set"))
+    classes = ids.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+    # Of a class its least id stands for it; its row has all that equal sets share.
+    nodes = scratch.table(classes.join(sets.filter(F.col("set").isNotNull()), (classes.node == sets.id) & (classes.set == sets.set)).select("node", classes.set, "copies", "size", "sketch", "paths", "deep", "parents").dropDuplicates(["node"]))
+    texts = base.join(nodes.select("node", "set"), F.col("id") == F.col("node")).select("node", "text", "set")
+
+    small, dense = _buckets_of(nodes, texts, k, threshold, scratch)
+    # Equal buckets are compared once.
+    lists = small.groupBy("members").count().select(F.xxhash64("members", F.lit("list")).alias("path"), F.explode("members").alias("node"))
+    buckets = scratch.table(lists.withColumn("blocks", F.lit(1).cast("long")).unionByName(dense.join(dense.groupBy("path").agg(F.ceil(F.count("*") / BUCKET).alias("blocks")), "path")).select("path", "node", "blocks"))
+    compared = block_pairs(buckets, "path", "blocks").join(nodes.select("node", "sketch"), "node").select("path", "one", "two", "node", "sketch")
+    edges = compared.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two", "node").mapInArrow(_edges(threshold - SLACK), "a long, b long")
+    clusters = _parted(scratch.table(components(edges, scratch)), buckets.select("path", "node"), nodes, texts, k, threshold, scratch)
+
+    linked = scratch.table(_compared(clusters.select(F.col("component").alias("group"), "node").join(nodes.select("node", "copies", "size"), "node"), texts, k, threshold))
     links = linked.filter(F.col("other").isNull()).groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(linked.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
+    groups = components(_edges_of(linked), scratch)
 
     told = classes.join(links, "node", "left").join(groups, "node", "left").select("set", F.col("node").alias("copy_of"), F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = ids.join(told, "set", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_of", "id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    nulls = sets.filter(F.col("id").isNull()).limit(1).select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(nulls)
+    return ids.join(told, "set", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_of", "id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5, recall: float = 0.999) -> DataFrame:
-    """The documents, with all their columns, that are the least id of their group; of rows with one id one stays, all with a null id do."""
+    """The documents, with all their columns, that are the least id of their group; of rows with one id the one with the text that was compared stays, all with a null id do."""
     links = ngram_join(docs, id_col, text_col, threshold, k, recall)
-    heads = links.filter(F.col(id_col) == F.col("class_id")).select(id_col)
-    kept = docs.join(heads, id_col, "left_semi").dropDuplicates([id_col])
+    heads = links.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_head")).distinct()
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    kept = docs.join(heads, F.col(id_col) == F.col("_head"), "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
     return kept.unionByName(docs.filter(F.col(id_col).isNull())).select(docs.columns)
 
 
 def _sent(rows):
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["component", "one", "two", "node", "copies", "own", "shingles"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["group", "one", "two", "node", "copies", "own", "shingles"])
