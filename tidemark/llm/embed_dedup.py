@@ -6,16 +6,23 @@ vectors of a label are one class.  A label with more than ``cell`` classes gets
 pivots from its own vectors.  A class lives in the cell of its nearest pivot
 ``p`` and is copied to the cell of ``q`` unless that cell's members are too far:
 by the triangle inequality one within ``r`` needs ``d(x, q) - d(x, p) <= 2 r``,
-and on the other side of the plane between two pivots ``(d(x, q)^2 - d(x, p)^2)
-/ (2 d(p, q)) <= r``.  So every class meets all within ``r`` in its own cell,
-and cells join independently.  A large cell is compared in pairs of blocks; link
-counts and forest edges leave a task, never pairs.
-
-At most ``MOST_PIVOTS`` pivots are broadcast, however many vectors there are.
-
-Defined results: see ``embedding_dedup``; rows with one id are one vector (the
-least by label and components); null ids give one row without links; vectors of
-different lengths never link; other columns are ignored.
+and on the other side of the plane between ``q`` and any pivot ``t`` that is near
+``x``, ``(d(x, q)^2 - d(x, t)^2) / (2 d(t, q)) <= r``.  So every class meets all
+within ``r`` in its own cell, and cells join independently.  A large cell is
+compared in pairs of blocks; link counts and forest edges leave a task, never
+pairs.
+
+Where pivots don't tell a label's vectors apart (tried on the pivots themselves,
+see ``useful``), copies to most cells would cost more than they save.  Such a
+label is one cell, and its vectors are copied once for each of its blocks.
+
+At most ``MOST_PIVOTS`` pivots with ``NUMBERS`` components in all are broadcast,
+however many vectors there are.  A task works in tiles of ``ROWS`` vectors.
+
+Defined results: see ``embedding_dedup``; each row gives a row; rows with one id
+are one vector (the least by label and components); a null id has no links and
+is not kept; ids may be of any type that has an order; vectors of different
+lengths never link; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components, forest
+from tidemark.llm.components import Numbered, components
 from tidemark.llm.ngram_join import _grouped, block_pairs
 from tidemark.llm.scratch import Scratch
 
-CELL, BLOCK, MOST_PIVOTS = 4096, 2048, 8192
+#: Classes of a cell; vectors and components in a block; pivots; components of all pivots; vectors of a tile; pivots near a vector.
+CELL, BLOCK, BLOCK_NUMBERS, MOST_PIVOTS, NUMBERS, ROWS, NEAR = 4096, 8192, 1 << 20, 8192, 1 << 20, 256, 4
+#: Share of all cells from which on copies are not worth it.
+WORTH = 0.4
+#: Copies that a task holds.
+HELD = 8192
 
 
 def _unit(values) -> np.ndarray:
@@ -41,33 +53,65 @@ def _unit(values) -> np.ndarray:
     return v / np.sqrt((v * v).sum(-1, keepdims=True))
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * a @ b.T))
+
+
+def reached(far: np.ndarray, apart: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Own cell of each vector, and for each cell whether a vector within ``radius`` may live there; from distances to pivots and between them."""
+    home = far.argmin(1)
+    near = np.argpartition(far, min(NEAR, far.shape[1]) - 1, axis=1)[:, :NEAR]
+    rows, square = np.arange(len(far)), far * far
+    reach = far - far[rows, home][:, None] <= 2 * radius + 1e-9
+    for t in (home, *near.T):
+        reach &= square - square[rows, t][:, None] <= 2 * np.maximum(apart[t], 1e-12) * (radius + 1e-9) + 1e-9
+    reach[rows, home] = True
+    return home, reach
+
+
+def useful(pivots: np.ndarray, radius: float) -> bool:
+    """Whether cells of these pivots save work: each pivot, as a vector among the others, must reach few of them."""
+    if len(pivots) < 3:
+        return False
+    apart = _distances(pivots, pivots)
+    total = 0
+    for at in range(0, len(pivots), ROWS):
+        far = apart[at : at + ROWS].copy()
+        own = np.arange(len(far))
+        far[own, at + own] = 4.0  # farther than any: itself is no cell here
+        total += int(reached(far, apart, radius)[1].sum())
+    return total / len(pivots) <= WORTH * (len(pivots) - 1)
+
+
 def _cells(pivots, radius: float):
     """Own cell and boundary copies of each class."""
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    kinds = {"label": pa.string(), "cell": pa.int32(), "node": pa.int64(), "copies": pa.int64(), "home": pa.bool_(), "vector": pa.binary()}
 
     def run(batches):
         by_label = {key: _unit(np.array(vectors)) for key, vectors in pivots.value.items()}
-        apart = {key: np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) for key, p in by_label.items()}
+        apart = {key: _distances(p, p) for key, p in by_label.items()}
+
+        def sent(key, own, units, cells, which, home):
+            packed = pa.array([u.tobytes() for u in units], pa.binary())
+            nodes, copies = (np.array([x[i] for x in own], np.int64) for i in (0, 1))
+            for at in range(0, len(which), HELD):
+                i, q = which[at : at + HELD], cells[at : at + HELD]
+                columns = [pa.array([key] * len(i), pa.string()), pa.array(q.astype(np.int32)), pa.array(nodes[i]), pa.array(copies[i]), pa.array(q == home[i]), packed.take(pa.array(i))]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
+
         for batch in batches:
-            rows = []
-            groups: dict[str, list] = {}
-            for label, node, copies, vector in zip(*(batch.column(i) for i in range(4)), strict=True):
-                vector = vector.as_py()
-                groups.setdefault(f"{label.as_py()}/{len(vector)}", []).append((node.as_py(), copies.as_py(), vector))
-            for key, own in groups.items():
-                units = _unit([x[2] for x in own])
-                if key not in by_label:
-                    rows += [(key, 0, node, copies, True, u.tobytes()) for (node, copies, _), u in zip(own, units, strict=True)]
-                    continue
-                far = np.sqrt(np.maximum(0, 2 - 2 * units @ by_label[key].T))
-                home = far.argmin(1)
-                near = far[np.arange(len(own)), home][:, None]
-                between = np.maximum(apart[key][home], 1e-12)
-                reach = (far - near <= 2 * radius + 1e-9) & (far * far - near * near <= 2 * between * (radius + 1e-9) + 1e-9)
-                reach[np.arange(len(own)), home] = True
-                for i, q in zip(*np.nonzero(reach), strict=True):
-                    rows.append((key, int(q), own[i][0], own[i][1], bool(q == home[i]), units[i].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["label", "cell", "node", "copies", "home", "vector"])
+            for begin in range(0, batch.num_rows, ROWS):
+                groups: dict[str, list] = {}
+                for label, node, copies, vector in zip(*(c.to_pylist() for c in batch.slice(begin, ROWS).columns), strict=True):
+                    groups.setdefault(f"{label}/{len(vector)}", []).append((node, copies, vector))
+                for key, own in groups.items():
+                    units = _unit([x[2] for x in own])
+                    if key in by_label:
+                        home, reach = reached(_distances(units, by_label[key]), apart[key], radius)
+                        which, cells = np.nonzero(reach)
+                    else:
+                        which, cells, home = np.arange(len(own)), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+                    yield from sent(key, own, units, cells, which, home)
 
     return run
 
@@ -78,50 +122,72 @@ def _links(cosine: float):
     def run(batches):
         for (_, _, one, two), rows in _grouped(batches, 4):
             nodes = [r[0] for r in rows]
-            weight = np.array([r[1] for r in rows], np.int64)
+            weight = np.array([r[1] for r in rows], np.float64)
             home, own = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-            units = np.frombuffer(b"".join(r[4] for r in rows), np.float64).reshape(len(rows), -1)
-            linked = units @ units.T >= cosine
-            np.fill_diagonal(linked, False)
-            if one != two:
-                linked &= own[:, None] != own[None, :]
-            linked &= home[:, None] | home[None, :]
-            weights = np.where(home, linked @ weight, 0)
-            found = np.flatnonzero(weights).tolist()
-            edges = forest(lambda i, rest: linked[i, rest], len(nodes))  # noqa: B023
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in found] + [nodes[i] for i, _ in edges], pa.int64()), pa.array([None] * len(found) + [nodes[j] for _, j in edges], pa.int64()), pa.array([int(weights[i]) for i in found] + [0] * len(edges), pa.int64())], ["node", "other", "links"])
+            units = np.frombuffer(b"".join([r[4] for r in rows]), np.float64).reshape(len(rows), -1)
+            weights, group, edges = np.zeros(len(rows)), np.arange(len(rows)), []
+            del rows
+            for at in range(0, len(nodes), ROWS):
+                part = slice(at, at + ROWS)
+                linked = units[part] @ units.T >= cosine
+                linked[np.arange(len(linked)), at + np.arange(len(linked))] = False
+                if one != two:
+                    linked &= own[part, None] != own[None, :]
+                linked &= home[part, None] | home[None, :]
+                found = np.flatnonzero(linked.any(1))
+                weights[at + found] = linked[found] @ weight
+                for i in found.tolist():
+                    others = np.flatnonzero(linked[i])
+                    heads, first = np.unique(group[others], return_index=True)
+                    new = heads != group[at + i]
+                    if new.any():  # a forest: one edge for each group that is met
+                        edges += [(nodes[at + i], nodes[j]) for j in others[first[new]].tolist()]
+                        group[np.isin(group, heads)] = group[at + i]
+            found = np.flatnonzero((weights > 0) & home).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in found] + [a for a, _ in edges], pa.int64()), pa.array([None] * len(found) + [b for _, b in edges], pa.int64()), pa.array([int(weights[i]) for i in found] + [0] * len(edges), pa.int64())], ["node", "other", "links"])
 
     return run
 
 
+def _pivots(classes: DataFrame, radius: float, cell: int) -> dict[str, list]:
+    """Of labels for which cells are useful, by label and length; at most MOST_PIVOTS with NUMBERS components."""
+    sizes = classes.groupBy(F.concat_ws("/", "label", F.size("vector")).alias("key"), F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
+    # Cells grow with the table where pivots would be more than may be broadcast.
+    row = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dim")).alias("numbers")).first()
+    per_cell = max(cell, math.ceil((row["n"] or 0) / MOST_PIVOTS), math.ceil((row["numbers"] or 0) / NUMBERS))
+    wanted = sizes.withColumn("pivots", F.floor(F.col("n") / per_cell)).filter("pivots > 1")
+    drawn = classes.withColumn("key", F.concat_ws("/", "label", F.size("vector"))).join(wanted, "key")
+    drawn = drawn.groupBy("key", F.pmod(F.xxhash64("node"), F.col("pivots")).alias("part")).agg(F.min_by("vector", F.xxhash64("node", F.lit("pivot"))).alias("vector"))
+    found: dict[str, list] = {}
+    for row in drawn.orderBy("key", "part").collect():
+        found.setdefault(row["key"], []).append(row["vector"])
+    return {key: vectors for key, vectors in found.items() if useful(_unit(np.array(vectors)), radius)}
+
+
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, cell: int = CELL) -> DataFrame:
-    """One row for each id: ``n_links`` (others of its label with a cosine of ``cosine`` or more), ``component_id`` (least id that links reach) and ``kept`` (the id is its component's).
+    """One row for each row: id, ``n_links`` (other vectors of its label with a cosine of ``cosine`` or more), ``component_id`` (least id that links reach) and ``kept`` (the id is its component's).
 
     Vectors that are null, zero or hold null or non-finite components, and rows
     without a label, link with nothing.
     """
-    spark = vectors.sparkSession
-    scratch, radius = Scratch(spark), math.sqrt(2 - 2 * cosine)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    scratch = Scratch(vectors.sparkSession)
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    numbered = Numbered(rows, scratch)
+    out = numbered.back(_joined(numbered.rows, cosine, cell, scratch), ["component_id"])
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _joined(rows: DataFrame, cosine: float, cell: int, scratch: Scratch) -> DataFrame:
+    """``id``, ``n_links`` and ``component_id`` of each long id of the rows (id, label, vector)."""
+    radius = math.sqrt(2 - 2 * cosine)
     rows = rows.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("label", "vector")).alias("v")).select("id", "v.label", "v.vector")
     fine = F.col("label").isNotNull() & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = scratch.table(rows.withColumn("fine", fine))
     classes = scratch.table(rows.filter("fine").groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
 
-    sizes = classes.groupBy(F.concat_ws("/", "label", F.size("vector")).alias("key")).agg(F.count("*").alias("n"))
-    # Cells grow with the table where pivots would be more than may be broadcast.
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    per_cell = max(cell, math.ceil(total / MOST_PIVOTS))
-    wanted = sizes.withColumn("pivots", F.floor(F.col("n") / per_cell)).filter("pivots > 1")
-    drawn = classes.withColumn("key", F.concat_ws("/", "label", F.size("vector"))).join(wanted, "key")
-    drawn = drawn.groupBy("key", F.pmod(F.xxhash64("node"), F.col("pivots")).alias("part")).agg(F.min_by("vector", F.xxhash64("node", F.lit("pivot"))).alias("vector"))
-    pivots: dict[str, list] = {}
-    for row in drawn.orderBy("key", "part").collect():
-        pivots.setdefault(row["key"], []).append(row["vector"])
-
-    sent = spark.sparkContext.broadcast(pivots)
+    sent = rows.sparkSession.sparkContext.broadcast(_pivots(classes, radius, cell))
     placed = scratch.table(classes.select("label", "node", "copies", "vector").mapInArrow(_cells(sent, radius), "label string, cell int, node long, copies long, home boolean, vector binary"))
-    blocks = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = placed.groupBy("label", "cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("vector")) / (8 * BLOCK_NUMBERS))).alias("blocks"))
     tasks = block_pairs(placed.join(blocks, ["label", "cell"]), "cell", "blocks").select("label", "cell", "one", "two", "node", "copies", "home", "own", "vector")
     linked = scratch.table(tasks.repartition("label", "cell", "one", "two").sortWithinPartitions("label", "cell", "one", "two", "node").mapInArrow(_links(cosine), "node long, other long, links long"))
     scratch.drop(placed)
@@ -130,6 +196,4 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     told = classes.join(links, "node", "left").join(groups, "node", "left").select(F.col("label").alias("t_label"), F.col("vector").alias("t_vector"), F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = rows.join(told, F.col("fine") & (F.col("label") == F.col("t_label")) & (F.col("vector") == F.col("t_vector")), "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    nulls = vectors.filter(F.col(id_col).isNull()).limit(1).select(F.lit(None).cast("long").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(nulls).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
