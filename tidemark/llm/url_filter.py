@@ -8,12 +8,15 @@ removes its false positives.  The longest listed prefix decides.  Paths longer
 than ``max_path`` have their first ``max_path`` characters in the key, and the
 join compares the rest, so the number of candidates has a bound.
 
-The filter has a fixed number of words whatever the list holds, so it goes to
-the executors as a constant of the plan.  Pages without a possible hit are never
-shuffled.
+The filter has a word for every four listed keys (16 bits a key, so few pages
+pass in vain), but at most ``MOST_BLOCKS`` (1 MB) however long the list is; past
+that more pages take the join, with the same results.  So it goes to the
+executors as a constant of the plan.  Pages without a possible hit are never
+shuffled.  Of a host only suffixes with at most as many labels as a listed host
+has are looked at.
 
 Defined results: a null url or one without ``://`` has an empty host and path
-and no rule; an empty list gives every page the default verdict; repeated rows
+and no rule; null ids are kept; an empty list gives every page the default verdict; repeated rows
 stay repeated; other input columns are ignored.
 """
 
@@ -23,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 4
+#: Words of the filter at least and at most.
+LEAST_BLOCKS, MOST_BLOCKS = 64, 1 << 17
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,7 +67,7 @@ def bloom_words(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("words"))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", blocks: int = 1024, max_path: int = 2048) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", blocks: int | None = None, max_path: int = 2048) -> DataFrame:
     """One row for each page: id, ``host``, ``path``, ``rule`` (null without one) and ``verdict``.
 
     ``rules`` has ``host``, ``path`` and ``verdict``.  A rule fits its host and
@@ -70,14 +75,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     wins, and ``block`` among equals.
     """
     listed = rules.groupBy(F.concat("host", F.substring("path", 1, max_path)).alias("key"), F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
-    # Both are of bounded size: the filter has a fixed number of words, and there are at most ``max_path`` lengths.
+    # All are of bounded size: the filter has at most MOST_BLOCKS words, and there are at most ``max_path`` lengths.
+    size = listed.agg(F.count("*").alias("n"), F.max(F.size(F.split("r_host", r"\."))).alias("labels")).first()
+    if blocks is None:
+        blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << max(0, size["n"] // 4 - 1).bit_length()))
     words = _constant(bloom_words(listed, "key", blocks).first()["words"], "long")
     lengths = _constant([r["n"] for r in listed.select(F.least(F.length("r_path"), F.lit(max_path)).alias("n")).distinct().collect()], "int")
     host, path = host_path(F.col(url_col))
     base = pages.select(F.col(id_col).alias("p_id"), F.col(url_col).alias("p_url"), host.alias("p_host"), path.alias("p_path"))
 
     labels = F.split("p_host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    first = F.greatest(F.lit(1), F.size(labels) - F.lit((size["labels"] or 1) - 1))
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = F.filter(lengths, lambda n: n <= F.length("p_path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.struct(F.concat(s, F.substring("p_path", F.lit(1), n)).alias("key"), s.alias("host"), n.alias("n")))))
     passing = F.filter(keys, lambda k: F.element_at(words, _block(k["key"], blocks) + 1).bitwiseAND(_mask(k["key"])) == _mask(k["key"]))
