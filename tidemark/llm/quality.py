@@ -1,7 +1,7 @@
 """Quality classifier (operator 10): supervised subword embeddings.
 
-Words, pairs of neighbouring words and character n-grams inside words are
-hashed into ``BUCKETS`` learned vectors.  A document is the mean of its
+Words, pairs of neighbouring words and character n-grams (of code points, inside
+words) are hashed into ``BUCKETS`` learned vectors.  A document is the mean of its
 features' vectors, a softmax layer gives its score, and numpy stochastic
 gradient descent trains both on a bounded sample of labelled rows.  As the
 output is linear in the mean, a trained model is one number per bucket, a fixed
@@ -42,17 +42,17 @@ def features(text: str | None):
     pairs = words[:-1] * BASE + words[1:] + KINDS["pair"]
     # Words that repeat themselves are one feature, whichever word it is.
     yield _bucket(np.where(words[:-1] == words[1:], KINDS["same"], pairs))
-    raw = np.frombuffer(b" " + data + b" ", np.uint8)
-    for at in range(0, len(raw), BLOCK):
-        part = raw[at : at + BLOCK + max(GRAMS) - 1].astype(np.uint64)
-        white = WHITE[raw[at : at + BLOCK + max(GRAMS) - 1]]
+    text = f" {text} "
+    for at in range(0, len(text), BLOCK):
+        points = np.frombuffer(text[at : at + BLOCK + max(GRAMS) - 1].encode("utf-32-le", "replace"), np.uint32)
+        part, white = points.astype(np.uint64), WHITE[np.minimum(points, 255)]
         for n in GRAMS:
             m = min(len(part) - n + 1, BLOCK)
             if m <= 0:
                 continue
             value, inner = np.full(m, n, np.uint64), np.zeros(m, bool)
             for i in range(n):
-                value = value << np.uint64(8) | part[i : i + m]
+                value = value * BASE + part[i : i + m]
                 if 0 < i < n - 1:
                     inner |= white[i : i + m]
             yield _bucket(value[~inner])
