@@ -12,10 +12,17 @@ per-document pre-token frequencies; ids are never built.
 3. The sums of a run meet by run and give one row for each document.
 
 No step holds more than a run (at most ``RUN`` documents) or one pre-token's
-postings of one run, and a frequent pre-token has one row in each run.
+postings of one run, and a frequent pre-token has one row in each run.  Pre-tokens
+meet within ``TOGETHER`` input partitions, so that the one with most postings is
+many tasks (and is counted once in each).
+
+A run's documents are numbered by their place, so a partition is put in an order
+of its own first: a task that is run again, after a lost executor, then cuts the
+same runs whatever order its input has that time.
 
 Defined results: a null text is empty (no bytes, no tokens); each input row
-gives a row, repeated or not; other columns are ignored.
+gives a row, repeated or not; ids may be of any type that a string can be cast
+to and from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +42,8 @@ from tidemark.llm.bpe import SPACES, Bpe, byte_characters, library_split, loaded
 
 #: Documents and distinct pre-tokens after which a run ends.
 RUN, DISTINCT = 1 << 16, 250_000
+#: Input partitions whose pre-tokens meet, a power of two.
+TOGETHER = 64
 #: Sums that a task holds before it adds them up or hands them on.
 HELD = 4_000_000
 #: A posting is position << SHIFT | frequency.
@@ -207,6 +216,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if head is not None:
             yield from flush()
 
-    met = plain.mapInArrow(cut, rows).repartition("key").sortWithinPartitions("key").mapInArrow(count, rows)
+    stable = plain.sortWithinPartitions(F.xxhash64("id", "text"), "id", "text")
+    part = F.shiftright("run", 31 + TOGETHER.bit_length())
+    met = stable.mapInArrow(cut, rows).repartition("key", part).sortWithinPartitions("key").mapInArrow(count, rows)
     summed = met.repartition("run").sortWithinPartitions("run").mapInArrow(total, "id string, n_bytes long, n_tokens long")
     return summed.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
