@@ -501,3 +501,59 @@ def test_word_hashes_tell_words_apart():
     words = data.split()
     assert [data[a:b] for a, b in zip(first, last, strict=True)] == words
     assert len(set(hashes.tolist())) == len(set(words)) == len(set(zip(words, hashes.tolist(), strict=True)))
+
+
+def test_decontamination_takes_any_ids_and_names(spark):
+    texts = ["x " * 200_000 + "the quick brown fox jumps over the dog", "nothing of it", None]
+    for kind in ("smallint", "double", "binary", "string", "date"):
+        cast = "date_add(date'2020-01-01', id)" if kind == "date" else "cast(cast(id as string) as binary)" if kind == "binary" else f"cast(id as {kind})"
+        rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").selectExpr(f"{cast} AS id", "text", "1 AS doc", "2 AS item", "3 AS n_found")
+        items = spark.createDataFrame([(7, "The quick brown fox jumps over the dog"), (None, "nothing else")], "id int, text string").selectExpr(f"{cast} AS id", "text", "4 AS doc_key")
+        for bound in (4_000_000, 1):
+            out = decontaminate.contaminated(rows, items, id_col="id", item_id="id", index_bound=bound)
+            assert out.columns == ["id", "item_id", "n_found", "n_shingles", "containment"] and out.schema["item_id"].dataType.simpleString() == kind
+            assert [(r["n_found"], r["containment"]) for r in out.collect()] == [(4, 1.0)]
+            assert decontaminate.clean(rows, items, item_id="id", index_bound=bound).count() == 2
+
+
+def test_token_counts_in_many_runs(spark, monkeypatch):
+    library = Tokenizer.from_file(BYTE)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ontheofing zzqx the of blorptang qwrtz".split()) for _ in range(rng.randint(0, 60))) for _ in range(90)]
+    for name, value in (("RUN", 4), ("DISTINCT", 5), ("HELD", 40), ("TOGETHER", 1)):
+        monkeypatch.setattr(token_counts, name, value)
+    for table in (docs(spark, texts), docs(spark, texts).repartition(7)):
+        out = token_counts.token_counts(table, BYTE).collect()
+        assert sorted((r["doc_id"], r["n_tokens"]) for r in out) == [(i, len(library.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+
+
+def test_url_filter_fits_its_list(spark):
+    rules = spark.createDataFrame([(f"h{i}.com", f"/p{i % 7}/", "block") for i in range(10_000)], "host string, path string, verdict string")
+    keys = rules.selectExpr("concat(host, path) AS key")
+    set_bits = url_filter.bloom_words(keys, "key", 4096).selectExpr("aggregate(words, 0, (s, w) -> s + bit_count(w)) AS n").first()["n"]
+    assert set_bits / (64 * 4096) < 0.3
+    pages = spark.createDataFrame([(1, "http://a.h9.com/p2/x"), (2, "http://h9.com/p3/x"), (None, "http://h10.com/p3/"), (3, "http://" + "a." * 8000 + "h9.com/p2/")], "page_id int, url string")
+    began = time.perf_counter()
+    out = sorted((r["page_id"] or 0, r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules).collect())
+    assert out == [(0, "h10.com/p3/", "block"), (1, "h9.com/p2/", "block"), (2, None, "allow"), (3, "h9.com/p2/", "block")]
+    assert time.perf_counter() - began < 30
+
+
+def test_quality_n_grams_are_of_characters():
+    for text in ("привет мир", "漢字かな交じり文", "abc defgh"):
+        padded, n = f" {text} ", 0
+        for size in quality.GRAMS:
+            n += sum(not any(c in " " for c in padded[i + 1 : i + size - 1]) for i in range(len(padded) - size + 1))
+        words = len(text.split())
+        assert sum(map(len, quality.features(text))) == n + words + (words - 1)
+    assert sum(map(len, quality.features("ab" * 1_500_000))) > 8_000_000
+
+
+def test_long_texts_row_by_row(spark, word):
+    long = "the river and " * 40_000 + "x" * 300_000
+    table = docs(spark, [long])
+    row = bpe.encode_decode(table, WORD, keep_ids=False, keep_decoded=False).first()
+    assert row["n_tokens"] == len(word[1].encode(long, add_special_tokens=False).ids)
+    assert token_counts.token_counts(table, BYTE).first()["n_tokens"] == len(Tokenizer.from_file(BYTE).encode(long, add_special_tokens=False).ids)
+    model = quality.train(["good words here", "BAD!!! words $$$"], [1, 0])
+    assert 0 <= quality.score(table, model).first()["score"] <= 1

@@ -9,18 +9,23 @@ for one of them to be in every document that contains the share ``t``.  The
 search therefore misses nothing.  Hits are candidates, and exact containment of
 the shingles, over the whole document, decides.
 
-The sketch values are an index of the items.  Where it is small (``index_bound``
-shingles, checked) it goes to every executor and a document is probed and
-verified where it is read, without a shuffle; a larger index is dealt into
-parts of at most that size which documents pass one after another, again without
-a shuffle, so neither memory nor data moved depends on the number of items.
+The sketch values are an index of the items.  Where it is small (all items
+together have at most ``index_bound`` shingles, counted first) it goes to every
+executor and a document is probed and verified where it is read, without a
+shuffle.  A larger index is a table: the documents' shingles meet the sketches by
+hash, and the shingles of the candidates are counted by joins, so nothing grows
+on the driver or in a task, and the documents are read no more often.
+
+Shingles are 64-bit hashes of their words; that two differ and have one hash is
+the only way for a result to be wrong.
 
 Defined results: words are runs of letters, digits and non-ASCII characters of
 the lower-cased text; an item or a document with less than ``k`` words has one
 shingle of all its words (such an item is found in longer documents with
 ``short_items``, which probes documents with runs of its number of words too),
-and one without words matches nothing; items with
-equal text each give a row; repeated documents stay repeated; null ids are kept.
+and one without words matches nothing; items with equal text each give a row;
+repeated documents stay repeated; null ids are kept; ids may be of any type; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.llm.scratch import Scratch
 from tidemark.llm.words import NO_WORD, shingles, spans
 
 
@@ -91,33 +98,75 @@ class Probes:
             yield from index.contained(shingles(text, k))
 
 
-def _parts(items: DataFrame, id_col: str, text_col: str, k: int, index_bound: int, short_items: bool):
-    """Lists of (item id, shingles, words of a shingle that documents are probed with); each list has at most ``index_bound`` shingles, or one item.
+_ITEMS = pa.schema([("probe", pa.int32()), ("need", pa.int64()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
-    Items stream through the driver partition by partition; only the part in work is held.
-    """
-    part, held = [], 0
-    for row in items.select(id_col, text_col).toLocalIterator():
-        own = shingles(row[1], k)
-        if part and held + len(own) > index_bound:
-            yield part
-            part, held = [], 0
-        n = len(spans((row[1] or "").lower().encode("utf-8", "replace"), NO_WORD)[0]) if short_items else k
-        part.append((row[0], own, min(k, n) or k))
-        held += len(own)
-    if part:
-        yield part
 
+def _indexed(items: DataFrame, id_col: str, text_col: str, threshold: float, k: int, short_items: bool) -> DataFrame:
+    """Items with words: ``item``, ``probe`` (words of a shingle that documents are probed with), ``need``, ``sketch``, ``shingles``."""
+    kind = items.schema[id_col].dataType.simpleString()
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, k: int = 5, index_bound: int = 4_000_000, short_items: bool = False) -> DataFrame:
-    """One row for each document and item it contains: ids, ``n_found``, ``n_shingles`` and ``containment`` (at least ``threshold``)."""
-    spark = docs.sparkSession
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"doc {kind}, item {item_kind}, n_found long, n_shingles long"
-    item_arrow = pa.schema([("item", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind])]).field(0).type
+    def run(batches):
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                own = shingles(text, k)
+                if len(own):
+                    n = len(spans(text.lower().encode("utf-8", "replace"), NO_WORD)[0]) if short_items else k
+                    one = Index([(0, own)], threshold)
+                    at.append(i)
+                    rows.append((min(k, n), int(one.need[0]), one.sketch.view(np.int64), own.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ITEMS))], ["item", *_ITEMS.names])
+
+    return items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).mapInArrow(run, f"item {kind}, probe int, need long, sketch array<long>, shingles array<long>")
 
-    def probed(part):
-        sent = spark.sparkContext.broadcast(part)
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``doc_key``, which stands for a text, and ``text``."""
+    return docs.select(_key(text_col).alias("doc_key"), F.col(text_col).alias("text"))
+
+
+def _found_by_joins(docs: DataFrame, text_col: str, index: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_key, number, n_found) of the texts and items of a large index; ``index`` has a ``number`` for each item."""
+    probes = [r["probe"] for r in index.select("probe").distinct().collect()]  # at most k
+
+    def run(batches):
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                for probe in probes:
+                    own = shingles(text.as_py(), probe).view(np.int64)
+                    for at in range(0, len(own), 50_000):
+                        part = own[at : at + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(part), pa.binary()), pa.array([probe] * len(part), pa.int32()), pa.array(part)], ["doc_key", "probe", "hash"])
+
+    texts = _texts(docs, text_col)
+    own = scratch.table(texts.mapInArrow(run, "doc_key binary, probe int, hash long").distinct())
+    sketches = index.select("number", "probe", F.explode("sketch").alias("hash"))
+    candidates = own.join(sketches, ["probe", "hash"]).select("doc_key", "number").distinct()
+    wanted = candidates.join(index, "number").select("doc_key", "number", "probe", "need", F.explode("shingles").alias("hash"))
+    found = wanted.join(own, ["doc_key", "probe", "hash"]).groupBy("doc_key", "number", "need").agg(F.count("*").alias("n_found"))
+    return found.filter("n_found >= need").select("doc_key", "number", "n_found")
+
+
+def _search(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, threshold: float, k: int, index_bound: int, short_items: bool):
+    """The items as a list where they have at most ``index_bound`` shingles, and else as a table."""
+    scratch = Scratch(docs.sparkSession)
+    index = scratch.table(_indexed(items, item_id, item_text, threshold, k, short_items).withColumn("number", F.monotonically_increasing_id()))
+    if (index.agg(F.sum(F.size("shingles"))).first()[0] or 0) > index_bound:
+        return None, index, scratch
+    return [(r["item"], np.array(r["shingles"], np.int64).view(np.uint64), r["probe"]) for r in index.select("item", "shingles", "probe").collect()], index, scratch
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, k: int = 5, index_bound: int = 4_000_000, short_items: bool = False) -> DataFrame:
+    """One row for each document and item it contains: ids (the item's as ``item_<name>`` where both have one name), ``n_found``, ``n_shingles`` and ``containment`` (at least ``threshold``)."""
+    kind, item_kind = docs.schema[id_col].dataType, items.schema[item_id].dataType
+    own, index, scratch = _search(docs, items, item_id, item_text, threshold, k, index_bound, short_items)
+    if own is None:
+        pairs = _found_by_joins(docs, text_col, index, scratch)
+        rows = docs.select(F.col(id_col).alias("doc"), _key(text_col).alias("doc_key"))
+        found = rows.join(pairs, "doc_key").join(index.select("number", "item", F.size("shingles").cast("long").alias("n_shingles")), "number")
+    else:
+        sent, arrow = docs.sparkSession.sparkContext.broadcast(own), to_arrow_type(item_kind)
 
         def run(batches):
             probes = Probes(sent.value, threshold)
@@ -127,27 +176,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     for row in probes.contained(text.as_py()):
                         at.append(i)
                         rows.append(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([r[0] for r in rows], item_arrow), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["doc", "item", "n_found", "n_shingles"])
-
-        return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([r[0] for r in rows], arrow), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["doc", "item", "n_found", "n_shingles"])
 
-    found = None
-    for part in _parts(items, item_id, item_text, k, index_bound, short_items):
-        found = probed(part) if found is None else found.unionByName(probed(part))
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_id), "n_found", "n_shingles", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
+        found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kind.simpleString()}, item {item_kind.simpleString()}, n_found long, n_shingles long")
+    name = item_id if item_id != id_col else f"item_{item_id}"
+    return found.select(F.col("doc").alias(id_col), F.col("item").alias(name), "n_found", "n_shingles", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, k: int = 5, index_bound: int = 4_000_000, short_items: bool = False) -> DataFrame:
-    """The documents, with all their columns, that contain no item; no shuffle."""
-    for part in _parts(items, item_id, item_text, k, index_bound, short_items):
-        docs = _without(docs, part, text_col, threshold)
-    return docs
+def _key(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def _without(docs: DataFrame, part, text_col: str, threshold: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(part)
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, k: int = 5, index_bound: int = 4_000_000, short_items: bool = False) -> DataFrame:
+    """The documents, with all their columns, that contain no item; no shuffle where the index is small."""
+    own, index, scratch = _search(docs, items, item_id, item_text, threshold, k, index_bound, short_items)
+    if own is None:
+        hit = _found_by_joins(docs, text_col, index, scratch).select(F.col("doc_key").alias("_hit")).distinct()
+        return docs.join(hit, _key(text_col) == F.col("_hit"), "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches):
         probes = Probes(sent.value, threshold)
