@@ -287,3 +287,98 @@ def test_lookups_into_the_future_are_refused(spark):
 def test_hopping_windows_by_end_are_refused(spark):
     with pytest.raises(ValueError, match="tumble"):
         stream(spark, [(0, 0, 2, 1)]).window(4, 2, by="end")
+
+
+def random_events(spark, n, seed, keys=3):
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *range(keys)]), rng.randint(1, 400), i, rng.choice([None, 1, 2, 3])) for i in range(n)]
+    return spark.createDataFrame(rows, "k long, t long, i long, v long")
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_slabs_change_nothing(spark, keys):
+    rows = random_events(spark, 120, 3)
+    for slab in (1, 7, 50, 1000):
+        for made in (lambda s: to_intervals(rows, "t", keys, 0, ["i"], s), lambda s: fixed_intervals(rows, "t", keys, 9, ["i"], s)):  # noqa: B023
+            whole, cut = made(None), made(slab)
+            order = lambda x: sorted(map(str, x.df.select(sorted(x.df.columns)).collect()))
+            assert order(whole) == order(cut)
+        whole = fixed_intervals(rows, "t", keys, 9, ["i"])
+        assert order(whole.pair("v")) == order(whole.pair("v", slab)) and order(whole.fill(500)) == order(whole.fill(500, slab))
+        points = rows.select("k", "t", "i")
+        if keys:
+            same = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+            assert same(whole.asof(points, "t", "x_")) == same(whole.asof(points, "t", "x_", slab))
+
+
+def test_slabs_are_tasks(spark):
+    rows = random_events(spark, 50, 4)
+    plan = fixed_intervals(rows, "t", [], 9, ["i"], 20).df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "SinglePartition" in fixed_intervals(rows, "t", [], 9, ["i"]).df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_time_bounds_reach_the_scan(spark, tmp_path):
+    from tidemark.sources import read_events
+
+    for kind in ("timestamp", "timestamp_ntz"):
+        spark.range(0, 1000).selectExpr(f"cast(timestamp_micros(id) AS {kind}) AS ts", "id").write.parquet(f"{tmp_path}/{kind}")
+        rows = read_events(spark, f"{tmp_path}/{kind}", "ts", ["id"], t0=10, t1=20)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThan(ts" in plan and "LessThanOrEqual(ts" in plan
+        assert sorted(r["id"] for r in rows.collect()) == list(range(11, 21))
+
+
+def test_keys_may_be_null(spark):
+    rows = [(None, i, i + 1, 1) for i in range(25)] + [(2, i, i + 1, 1) for i in range(5)]
+    s = TStream(spark.createDataFrame(rows, "k long, st long, et long, v long"), ("k",))
+
+    def count(frames):
+        n = 0
+        for frame in frames:
+            n += len(frame)
+        yield frame[["k"]].head(1).assign(n=n)
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, 4)
+    try:
+        assert sorted((r["k"] or 0, r["n"]) for r in s.by_key(count, "k long, n long").collect()) == [(0, 25), (2, 5)]
+    finally:
+        spark.conf.unset(size)
+    assert s.window(100, by="end").normalize("v", "z").df.count() == 30
+
+
+def test_recurrences_look_back_and_take_time_in_proportion(spark):
+    import time
+
+    values = [random.Random(5).randint(0, 9) for _ in range(600)]
+    s = stream(spark, [(0, i, i + 1, v) for i, v in enumerate(values)])
+    outs = [1, 1, 1]
+    for v in values:
+        outs.append((outs[-1] + 2 * outs[-3] + v) % 1009)
+    found = s.recurrence(F.lit(1).cast("long"), lambda before, x: (before(1) + 2 * before(3) + x["v"]) % 1009, "o", back=3)
+    assert [r[-1] for r in got(found)] == outs[3:]
+    times = []
+    for n in (20_000, 80_000):
+        long = TStream(spark.range(n).selectExpr("0L AS k", "id AS st", "id + 1 AS et", "id % 7 AS v"), ("k",))
+        began = time.perf_counter()
+        assert long.recurrence(F.lit(0).cast("long"), lambda before, x: before + x["v"], "o").df.agg(F.max("o")).first()[0] == sum(i % 7 for i in range(n))
+        times.append(time.perf_counter() - began)
+    assert times[1] < 8 * times[0] + 1
+
+
+def test_moving_sums_and_slices(spark):
+    rng = random.Random(6)
+    rows, t = [], 0
+    for _ in range(200):
+        t += rng.randint(0, 3)
+        rows.append((0, t, t + 1, rng.randint(-5, 5)))
+        t += 1
+    s = stream(spark, rows)
+    out = got(s.moving_sum(12, "v"))
+    assert [r[-2:] for r in out] == [(len(x := [v for _, _, e, v in rows if et - 12 < e <= et]), sum(x)) for _, _, et, _ in rows]
+    for a, b, hop in ((-7, -2, 3), (2, 9, 4), (-3, 5, 5)):
+        found = {r[2]: r[3] for r in got(s.slice(a, b, hop).agg(n=F.count("*")))}
+        times = range(-12, t + 12)
+        assert found == {T: n for T in times if T % hop == 0 and (n := sum(st < T + b and et > T + a for _, st, et, _ in rows))}
+    with pytest.raises(ValueError, match="slice"):
+        s.slice(2, 2, 1)

@@ -37,8 +37,8 @@ def query(sql: str | None = None, name: str | None = None):
 # Streams of the events, and the same in SQL.
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read_events(spark, f"{sf_dir}/events.parquet", "ts", ["event_id", "user_id", "event_type", "value"])
+def events(spark: SparkSession, sf_dir: str, t0: int | None = None, t1: int | None = None) -> DataFrame:
+    df = read_events(spark, f"{sf_dir}/events.parquet", "ts", ["event_id", "user_id", "event_type", "value"], t0=t0, t1=t1)
     return df.withColumn("cents", F.round(F.col("value") * 100).cast("long"))
 
 
@@ -47,10 +47,10 @@ def users(spark: SparkSession, sf_dir: str) -> TStream:
     return to_intervals(events(spark, sf_dir), "t", ["user_id"], START, ["event_id"])
 
 
-def kind(spark: SparkSession, sf_dir: str, event_type: str, hours: int = 72, keys=("user_id",)) -> TStream:
+def kind(spark: SparkSession, sf_dir: str, event_type: str, hours: int = 72, keys=("user_id",), slab: int | None = None, t0: int | None = None, t1: int | None = None) -> TStream:
     """Events of a type, each for some hours up to it: a stream with gaps."""
-    own = events(spark, sf_dir).filter(F.col("event_type") == event_type).select("t", "event_id", "user_id", "cents")
-    return fixed_intervals(own if keys else own.drop("user_id"), "t", list(keys), hours * HOUR, ["event_id"])
+    own = events(spark, sf_dir, t0, t1).filter(F.col("event_type") == event_type).select("t", "event_id", "user_id", "cents")
+    return fixed_intervals(own if keys else own.drop("user_id"), "t", list(keys), hours * HOUR, ["event_id"], slab)
 
 
 def uniform(spark: SparkSession, sf_dir: str, step: int) -> TStream:
@@ -127,6 +127,8 @@ SCALARS: dict[str, dict[str, tuple[Callable, str]]] = {
     "cast_float_to_long": {"i": (lambda e: fn.to_type(e.value, "long"), "trunc(value)::BIGINT")},
     "cast_byte_to_int": {"i": (lambda e: fn.to_type(fn.to_type(e.cents % 128, "byte"), "int"), "(cents % 128)::TINYINT::INTEGER")},
     "cast_unsigned": {"i": (lambda e: fn.to_type(fn.to_type(e.cents % 65536, "int"), "double"), "(cents % 65536)::USMALLINT::DOUBLE")},
+    "cast_float32": {"f": (lambda e: fn.to_type(e.value, "float"), "value::FLOAT"), "g": (lambda e: fn.to_type(e.value, "float") + fn.constant(5, "float"), "value::FLOAT + 5::FLOAT"), "i": (lambda e: fn.to_type(fn.to_type(e.value, "float"), "int"), "trunc(value::FLOAT)::INTEGER")},
+    "cast_wrapping": {"i": (lambda e: fn.to_type(e.cents - 20000, "uint"), "((cents - 20000) & 4294967295)::UINTEGER::BIGINT"), "s": (lambda e: fn.to_type((e.cents - 20000) * 7, "ushort"), "(((cents - 20000) * 7) & 65535)::USMALLINT::INTEGER"), "b": (lambda e: fn.to_type(e.cents, "ubyte"), "(cents & 255)::UTINYINT::SMALLINT"), "f": (lambda e: fn.to_type(fn.to_type(e.value, "float"), "uint"), "trunc(value::FLOAT)::UINTEGER::BIGINT")},
     "case": {"i": (lambda e: fn.either(e.cents > 5000, e.cents, -e.cents), "CASE WHEN cents > 5000 THEN cents ELSE -cents END")},
     "exists": {"b": (lambda e: e.cents.isNotNull(), "cents IS NOT NULL")},
     "struct": {"i": (lambda e: fn.field(fn.new(e.cents, e.value), 0), "cents"), "f": (lambda e: fn.field(fn.field(fn.new(fn.new(e.value), e.cents), 0), 0), "value")},
@@ -164,6 +166,58 @@ def clip_days(spark, sf_dir):
     return users(spark, sf_dir).select(cents="cents").clip(START + 5 * DAY, START + 9 * DAY).df
 
 
+@query(f"WITH {EV}, {_kind('a', 'click')} SELECT user_id, greatest(st, {START + 5 * DAY}) AS st, least(et, {START + 9 * DAY}) AS et, cents FROM a WHERE et > {START + 5 * DAY} AND st < {START + 9 * DAY}")
+def clip_at_the_scan(spark, sf_dir):
+    """Some days of a stream of intervals of 72 hours: only events up to their end and 72 hours more are read."""
+    t0, t1 = START + 5 * DAY, START + 9 * DAY
+    return kind(spark, sf_dir, "click", t0=t0, t1=t1 + 72 * HOUR).select(cents="cents").clip(t0, t1).df
+
+
+@query(f"WITH {IV} SELECT user_id, st, et, cents + 7 AS v FROM iv WHERE (cents + 7) % 2 = 0")
+def macro_operator(spark, sf_dir):
+    """An operator that is a function of a stream."""
+
+    def even(stream: TStream, by: int) -> TStream:
+        return stream.select(v=lambda e: e.cents + by).where(lambda e: e.v % 2 == 0)
+
+    return users(spark, sf_dir).apply(even, 7).df
+
+
+@query(f"WITH {IV} SELECT user_id, st, et, cents, part, cents % (part + 2) AS rest FROM iv, (VALUES (0), (1), (2)) p(part) WHERE part <= cents % 3")
+def table_function(spark, sf_dir):
+    """A user table function: from no row to three for each event."""
+
+    @F.udtf(returnType="part int, rest long")
+    class Parts:
+        def eval(self, cents: int):
+            for part in range(cents % 3 + 1):
+                yield part, cents % (part + 2)
+
+    return users(spark, sf_dir).select(cents="cents").table(Parts, "cents").df
+
+
+@query("SELECT * FROM (VALUES (0, 'aggregate()'), (1, '  window(size=86400000000, hop=86400000000, by=overlap)'), (2, '    where() [row by row]'), (3, '      inner join(columns=[''d''])'), (4, '        stream()'), (5, '        stream()')) AS t(line, operator)")
+def operator_tree(spark, sf_dir):
+    """What a query is made of, as ``tree`` tells it."""
+    a, b = (TStream(s.df, s.keys) for s in _pair(spark, sf_dir))
+    tree = a.join(b, d=lambda l, r: l.cents - r.cents).where(lambda e: e.d > 0).window(DAY).agg(n=F.count("*")).tree()
+    return spark.createDataFrame(list(enumerate(tree.splitlines())), "line int, operator string")
+
+
+@query(f"WITH {IV} SELECT user_id, st, et, event_id, cents FROM iv")
+def sink_round_trip(spark, sf_dir):
+    """A stream written to files and read again."""
+    import uuid
+
+    from tidemark.sources import write_intervals
+    from tidemark.streaming.run import shared_folder
+
+    path = f"{shared_folder(spark).rstrip('/')}/tidemark/sink-{uuid.uuid4().hex}"
+    stream = users(spark, sf_dir).select(event_id="event_id", cents="cents")
+    write_intervals(stream, path)
+    return checked_intervals(spark.read.parquet(path), ["user_id"]).df.select("user_id", "st", "et", "event_id", "cents")
+
+
 @query(f"WITH {IV} SELECT user_id, st, et, cents, cents * 2 + 1 AS y FROM iv")
 def call_udf(spark, sf_dir):
     """A user function: Arrow batches, not rows."""
@@ -265,7 +319,7 @@ def align_sampled(spark, sf_dir):
 @query(f"WITH {EV}, {_kind('a', 'click', 1, False)}, {_kind('b', 'view', 1, False)} SELECT CAST(sum(least(a.et, b.et) - greatest(a.st, b.st)) AS BIGINT) AS both_us, CAST(sum((least(a.et, b.et) - greatest(a.st, b.st)) * a.cents) AS BIGINT) AS weighted FROM a JOIN b ON a.st < b.et AND b.st < a.et")
 def join_unkeyed_slabs(spark, sf_dir):
     """Streams without keys: aligned by day, each day a task; the time both hold."""
-    a, b = (kind(spark, sf_dir, k, 1, ()) for k in ("click", "view"))
+    a, b = (kind(spark, sf_dir, k, 1, (), DAY) for k in ("click", "view"))
     both = a.join(b, slab=DAY, cents=lambda l, r: l.cents).df
     held = F.col("et") - F.col("st")
     return both.agg(F.sum(held).alias("both_us"), F.sum(held * F.col("cents")).alias("weighted"))
@@ -338,6 +392,36 @@ def time_weighted_avg(spark, sf_dir):
     return users(spark, sf_dir).window(DAY).time_weighted("cents", "a").select(a=lambda e: F.round(e.a, 6)).df
 
 
+@query(f"{DAILY} SELECT user_id, w_st AS st, w_et AS et, product(cents % 2 + 1) AS p, first(event_id ORDER BY cents DESC, c_et) AS largest, first(c_et ORDER BY cents, c_et) AS least_at FROM wd GROUP BY ALL")
+def tumbling_product(spark, sf_dir):
+    """Product, and the event and time of the extremes, the first among equals."""
+    most = F.max_by("event_id", F.struct("cents", -F.col("c_et")))
+    return users(spark, sf_dir).window(DAY).agg(p=F.product(F.col("cents") % 2 + 1), largest=most, least_at=F.min_by("c_et", F.struct("cents", "c_et"))).df
+
+
+def _sliced(source: str, a: int, b: int, hop: int) -> str:
+    return f"sl AS (SELECT *, unnest(range(((st - {b}) // {hop} + 1) * {hop}, ((et - {a} - 1) // {hop}) * {hop} + 1, {hop})) AS k FROM {source})"
+
+
+@query(f"WITH {IV}, {_sliced('iv', 6 * HOUR, 30 * HOUR, DAY)} SELECT user_id, k - {DAY} AS st, k AS et, count(*) AS n, CAST(sum(cents) AS BIGINT) AS s FROM sl GROUP BY ALL")
+def slice_future(spark, sf_dir):
+    """At each midnight the events that hold from 6 to 30 hours later."""
+    return users(spark, sf_dir).slice(6 * HOUR, 30 * HOUR, DAY).agg(n=F.count("*"), s=F.sum("cents")).df
+
+
+@query(f"WITH {IV}, {_sliced('iv', -3 * DAY, -DAY, DAY)} SELECT user_id, k - {2 * DAY} AS st, k AS et, count(*) AS n, max(cents) AS hi FROM sl GROUP BY ALL")
+def slice_past(spark, sf_dir):
+    """At each midnight what held from three days to one day before."""
+    return users(spark, sf_dir).slice(-3 * DAY, -DAY, DAY).agg(n=F.count("*"), hi=F.max("cents")).df
+
+
+@query(f"{DAILY} SELECT user_id, c_st AS st, c_et AS et, round(cents - avg(cents) OVER (PARTITION BY user_id, w_et), 4) AS d FROM wd")
+def join_with_aggregate(spark, sf_dir):
+    """A scalar of one operator as an input of another: events less their day's mean."""
+    events_ = users(spark, sf_dir).select(cents="cents")
+    return events_.join(events_.window(DAY).agg(a=F.avg("cents")), d=lambda e, m: F.round(e.cents - m.a, 4)).df
+
+
 @query(f"{DAILY}, li AS (SELECT user_id, w_st AS st, w_et AS et, list(cents ORDER BY c_st) AS l FROM wd GROUP BY ALL) SELECT user_id, st, et, CAST(list_reduce(list_prepend(1::BIGINT, l), lambda s, x: (s * 31 + x) % 1000003) AS BIGINT) AS h FROM li")
 def reduce_fold(spark, sf_dir):
     """A fold in the order of time that no built-in aggregate is."""
@@ -356,7 +440,7 @@ def moving_range(spark, sf_dir):
 
 @query(f"WITH {_uniform(1)} SELECT user_id, st, et, CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY et ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM un")
 def moving_sum_10(spark, sf_dir):
-    return uniform(spark, sf_dir, 1).moving(10, s=F.sum("cents")).df.drop("cents")
+    return uniform(spark, sf_dir, 1).moving_sum(10, "cents").select(s="sum").df
 
 
 @query(f"WITH {_uniform(1)}, b AS (SELECT *, (et + 9) // 10 AS w FROM un) SELECT user_id, st, et, round((cents - avg(cents) OVER x) / nullif(stddev_pop(cents) OVER x, 0), 4) AS z FROM b WINDOW x AS (PARTITION BY user_id, w)")
@@ -450,6 +534,46 @@ def nested_top_events(spark, sf_dir):
     return week.withColumn("rk", rank).filter("rk <= 3").select("user_id", F.col("c_st").alias("st"), F.col("c_et").alias("et"), "cents")
 
 
+@query(f"{DAILY} SELECT user_id, w_et, c_st AS st, c_et AS et, CAST(sum(cents) OVER (PARTITION BY user_id, w_et ORDER BY c_st) AS BIGINT) AS s, lag(cents) OVER (PARTITION BY user_id, w_et ORDER BY c_st) AS before FROM wd")
+def nested_running(spark, sf_dir):
+    """Operators within each day's events: running sums, and the event before."""
+
+    def own(day: TStream) -> TStream:
+        sums = day.running(s=F.sum("cents"))
+        return TStream(sums.df.withColumn("before", F.lag("cents").over(Window.partitionBy(*day.keys).orderBy("st"))).drop("cents"), day.keys)
+
+    return users(spark, sf_dir).select(cents="cents").window(DAY).per_window(own).df
+
+
+@query(f"{DAILY}, p AS (SELECT user_id, w_et, c_st AS st, c_et AS et, cents AS ev, lag(cents) OVER w AS sv, lag(c_et) OVER w AS pe FROM wd WINDOW w AS (PARTITION BY user_id, w_et ORDER BY c_et)), g AS (SELECT *, unnest(range((st // {HOUR} + 1) * {HOUR}, et + 1, {HOUR})) AS k FROM p WHERE pe = st) SELECT user_id, w_et, k - {HOUR} AS st, k AS et, round((ev - sv) * (k - st) / (et - st)::DOUBLE + sv, 4) AS cents FROM g")
+def nested_resample(spark, sf_dir):
+    """Linear resampling that never looks beyond the day."""
+    return users(spark, sf_dir).select(cents="cents").window(DAY).per_window(lambda day: day.resample(HOUR, "cents")).select(cents=lambda e: F.round(e.cents, 4)).df
+
+
+@query(ORACLE_SQL["moving_sum_10"])
+def recurrence_moving_sum(spark, sf_dir):
+    """``out = out[-1] + x - x[-10]``: a moving sum by self reference."""
+    rows = uniform(spark, sf_dir, 1)
+    gone = F.coalesce(F.lag("cents", 10).over(Window.partitionBy("user_id").orderBy("et")), F.lit(0))
+    both = TStream(rows.df.withColumn("gone", gone), rows.keys)
+    return both.recurrence(F.lit(0).cast("long"), lambda before, x: before + x["cents"] - x["gone"], "s").select(s="s").df
+
+
+@query(f"WITH RECURSIVE {_uniform(1)}, r AS (SELECT DISTINCT user_id, 0::BIGINT AS et, 1::BIGINT AS a, 1::BIGINT AS b, 1::BIGINT AS c FROM un UNION ALL SELECT un.user_id, un.et, (r.a + 2 * r.c + un.cents) % 1000003, r.a, r.b FROM r JOIN un ON un.user_id = r.user_id AND un.et = r.et + 1) SELECT user_id, et - 1 AS st, et, a AS o FROM r WHERE et > 0")
+def recurrence_lookback(spark, sf_dir):
+    """``out = out[-1] + 2 out[-3] + x``, in remainders."""
+    out = uniform(spark, sf_dir, 1).recurrence(F.lit(1).cast("long"), lambda before, x: (before(1) + 2 * before(3) + x["cents"]) % 1000003, "o", back=3)
+    return out.select(o="o").df
+
+
+@query(f"WITH RECURSIVE {EV}, {_kind('a', 'click')}, ch AS (SELECT user_id, cents, k, row_number() OVER (PARTITION BY user_id ORDER BY k) AS n FROM (SELECT user_id, cents, unnest(range((st // {6 * HOUR} + 1) * {6 * HOUR}, et + 1, {6 * HOUR})) AS k FROM a)), r AS (SELECT user_id, n, k, (3 + cents) % 10007 AS o FROM ch WHERE n = 1 UNION ALL SELECT ch.user_id, ch.n, ch.k, (3 * r.o + ch.cents) % 10007 FROM r JOIN ch ON ch.user_id = r.user_id AND ch.n = r.n + 1) SELECT user_id, k - {6 * HOUR} AS st, k AS et, CAST(o AS BIGINT) AS o FROM r")
+def recurrence_ticks(spark, sf_dir):
+    """A step for each grid time at which a stream with gaps holds a value, not for each event."""
+    out = kind(spark, sf_dir, "click").select(cents="cents").recurrence(F.lit(1).cast("long"), lambda before, x: (3 * before + x["cents"]) % 10007, "o", period=6 * HOUR)
+    return out.select(o="o").df
+
+
 # Structured Streaming: the same files as a stream, run to the end.
 
 

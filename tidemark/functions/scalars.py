@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INTEGERS = {"byte", "short", "int", "integer", "long", "bigint", "smallint", "tinyint"}
+#: Bits of unsigned types, and the type that holds them.
+UNSIGNED = {"ubyte": (8, "short"), "ushort": (16, "int"), "uint": (32, "long")}
 
 
 def tick(name: str) -> Column:
@@ -74,7 +76,14 @@ def floored(a) -> Column:
 
 
 def to_type(a, kind: str) -> Column:
-    """Cast between numbers; floats become integers towards zero, and null out of the type's range."""
+    """Cast between numbers; floats become integers towards zero, and null out of the type's range.
+
+    Spark has no unsigned types: ``ubyte``, ``ushort`` and ``uint`` are held by
+    the next wider type, and numbers wrap as unsigned ones of that width do.
+    """
+    if kind in UNSIGNED:
+        bits, wider = UNSIGNED[kind]
+        return F.pmod(_column(a).try_cast("long"), F.lit(1 << bits)).cast(wider)
     if kind in INTEGERS:
         return _column(a).try_cast(kind)
     return _column(a).cast(kind)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.align import floor_div
+from tidemark.operators.clock import matched
+
 
 def windowed(df: DataFrame, size: int, hop: int, origin: int = 0) -> DataFrame:
     """A row for each window that an interval overlaps: its end ``w_et``, start ``w_st``, and the interval clipped to it, ``c_st`` and ``c_et``."""
@@ -63,12 +65,30 @@ def sliding(df: DataFrame, keys: list[str], size: int, value: Column) -> DataFra
 
 
 def over_range(df: DataFrame, keys: list[str], size: int, aggregates: dict[str, Column]) -> DataFrame:
-    """Any aggregates over the intervals that end in ``(et - size, et]``, at each interval."""
+    """Any aggregates over the intervals that end in ``(et - size, et]``, at each interval; each looks at its whole window (``moved`` doesn't)."""
     w = Window.partitionBy(*keys).orderBy("et").rangeBetween(-(size - 1), 0)
     return df.withColumns({n: c.over(w) for n, c in aggregates.items()})
 
 
+def moved(df: DataFrame, keys: list[str], size: int, value: Column) -> DataFrame:
+    """Adds ``n`` and ``sum`` over the intervals that end in ``(et - size, et]``, at each interval.
+
+    An interval comes in at its end and goes out ``size`` later, so both are
+    running sums: one sort, whatever the size.
+    """
+    held = F.struct(*[c for c in df.columns if c not in keys])
+    edges = df.select(*keys, value.alias("_v"), "et", held.alias("_r")).select(*keys, F.inline(F.array(F.struct(F.col("et").alias("_t"), F.lit(1).alias("_k"), F.col("_v"), F.col("_r")), F.struct((F.col("et") + F.lit(size)).alias("_t"), F.lit(-1).alias("_k"), (-F.col("_v")).alias("_v"), F.lit(None).cast(df.select(held.alias("r")).schema["r"].dataType).alias("_r")))))
+    run = Window.partitionBy(*keys).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    out = edges.withColumn("n", F.sum("_k").over(run)).withColumn("sum", F.sum("_v").over(run)).filter("_k = 1")
+    return out.select(*keys, "_r.*", "n", "sum")
+
+
 def normalized(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """``(v - mean) / stddev`` (population) within each row's window; null where all values are equal."""
-    w = Window.partitionBy(*keys, "w_et")
-    return df.withColumn(out, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w)))
+    """``(v - mean) / stddev`` (population) within each row's window; null where all values are equal.
+
+    Mean and deviation are aggregated before any exchange and joined to the rows,
+    so a window with most rows is neither held nor sorted in a task.
+    """
+    by = [*keys, "w_et"]
+    stats = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    return matched(df, stats, by).withColumn(out, F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd")

@@ -7,16 +7,16 @@ no value.
 
 Choices that hold for all operators: windows give a row each, also where one
 event spans several; a window without an event gives no row unless asked for; a
-window exists where an event overlaps it; recurrences step once per event or
-grid time; a grid has an origin, and bounds are rounded down to it; numbers are
-long or double; a division by zero is null; an overflow is an error.
+window exists where an event overlaps it; recurrences step once per event, or
+with a period once per grid time at which there is a value; a grid has an origin, and bounds are rounded down to it; numbers are
+long, float or double; a division by zero is null; an overflow is an error.
 """
 
 from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,8 +126,11 @@ class TStream:
         out = _clock.ticks(self.df, period, origin, "_t").withColumns({"st": F.col("_t") - F.lit(period), "et": F.col("_t")}).drop("_t")
         return self._next(out, "chop", period=period, origin=origin)
 
-    def asof(self, points: DataFrame, time: str, prefix: str = "") -> DataFrame:
-        """``points`` with the payload that holds at their time, null where none does; one exchange and sort, no range join."""
+    def asof(self, points: DataFrame, time: str, prefix: str = "", slab: int | None = None) -> DataFrame:
+        """``points`` with the payload that holds at their time, null where none does; one exchange and sort, no range join.
+
+        With ``slab`` each slab of time is a task of its own, and what holds at its start is carried there through one row for each slab.
+        """
         names = {c: f"{prefix}{c}" for c in self.payload}
         held = F.struct(F.lit(True).alias("p"), *self.payload)
         gone = F.struct(F.lit(False).alias("p"), *(F.lit(None).cast(self.df.schema[c].dataType).alias(c) for c in self.payload))
@@ -135,12 +138,25 @@ class TStream:
         # A point at t sees what began before t, so it comes before the bounds at t.
         probes = points.select(*self.keys, F.col(time).cast("long").alias("_t"), F.lit(0).alias("_k"), F.struct(*[c for c in points.columns if c not in self.keys]).alias("_r"))
         both = probes.unionByName(edges, allowMissingColumns=True)
-        w = _clock.Window.partitionBy(*self.keys).orderBy("_t", "_k").rowsBetween(_clock.Window.unboundedPreceding, 0)
-        out = both.withColumn("_s", F.last("_s", ignorenulls=True).over(w)).filter("_k = 0")
+        by, window = list(self.keys), _clock.Window
+        if slab:
+            by.append("_slab")
+            both = both.withColumn("_slab", _align.floor_div(F.col("_t"), slab))
+        out = both.withColumn("_s", F.last("_s", ignorenulls=True).over(window.partitionBy(*by).orderBy("_t", "_k").rowsBetween(window.unboundedPreceding, 0))).filter("_k = 0")
+        if slab:
+            ends = both.groupBy(*by).agg(F.max_by("_s", F.when(F.col("_s").isNotNull(), F.struct("_t", "_k"))).alias("_c"))
+            ends = ends.withColumn("_c", F.last("_c", ignorenulls=True).over(window.partitionBy(*self.keys).orderBy("_slab").rowsBetween(window.unboundedPreceding, -1)))
+            out = _clock.matched(out, ends, by, "left").withColumn("_s", F.coalesce("_s", "_c"))
         return out.select(*self.keys, "_r.*", *(F.col(f"_s.{c}").alias(n) for c, n in names.items()))
 
     # Windows.
 
+    def slice(self, a: int, b: int, hop: int, origin: int = 0) -> Windowed:
+        """The windows ``(T + a, T + b]`` of the times ``T`` on a grid of ``hop``, also of the future; results are for ``(T - b + a, T]``."""
+        if a >= b:
+            raise ValueError("a slice ends after it begins")
+        return replace(self.shift(-b).window(b - a, hop, origin), plan=Node("slice", {"a": a, "b": b, "hop": hop}, (self.plan,)))
+
     def window(self, size: int, hop: int | None = None, origin: int = 0, by: str = "overlap") -> Windowed:
         """Windows ``(T - size, T]`` every ``hop``; ``by="end"`` puts points into the tumbling window of their time."""
         hop = hop or size
@@ -153,8 +169,12 @@ class TStream:
         """``n``, ``sum`` over ``(T - size, T]`` at every change point."""
         return self._next(_windows.sliding(self.df, list(self.keys), size, _made(value, Fields())), "sliding", size=size)
 
+    def moving_sum(self, size: int, value: Made) -> TStream:
+        """The payload with ``n`` and ``sum`` over what ended in the last ``size``, at every interval; one sort, whatever the size."""
+        return self._next(_windows.moved(self.df, list(self.keys), size, _made(value, Fields())), "moving_sum", size=size)
+
     def moving(self, size: int, **aggregates: Made) -> TStream:
-        """Aggregates over what ended in the last ``size``, at every interval."""
+        """Any aggregates over what ended in the last ``size``, at every interval; each looks at its whole window."""
         return self._next(_windows.over_range(self.df, list(self.keys), size, {n: _made(v, Fields()) for n, v in aggregates.items()}), "moving", size=size)
 
     # Clock and recurrences.
@@ -164,8 +184,8 @@ class TStream:
         out = _clock.ticks(self.df, period, origin, name)
         return self._next(out.select(*self.keys, (F.col(name) - F.lit(period)).alias("st"), F.col(name).alias("et"), name), "beat", period=period, origin=origin)
 
-    def pair(self, value: str) -> TStream:
-        return self._next(_clock.paired(self.df, list(self.keys), value), "pair", value=value)
+    def pair(self, value: str, slab: int | None = None) -> TStream:
+        return self._next(_clock.paired(self.df, list(self.keys), value, slab), "pair", value=value)
 
     def interpolate(self, period: int, origin: int = 0, value: str = "value") -> TStream:
         """Of pairs: linear values on a grid."""
@@ -175,14 +195,19 @@ class TStream:
         """Linear resampling of the samples at the intervals' ends."""
         return self.pair(value).interpolate(period, origin, value)
 
-    def fill(self, until: int | None = None) -> TStream:
-        return self._next(_clock.filled(self.df, list(self.keys), self.payload, until), "fill", until=until)
+    def fill(self, until: int | None = None, slab: int | None = None) -> TStream:
+        return self._next(_clock.filled(self.df, list(self.keys), self.payload, until, slab), "fill", until=until)
 
     def running(self, **aggregates: Made) -> TStream:
         return self._next(_clock.running(self.df, list(self.keys), {n: _made(v, Fields()) for n, v in aggregates.items()}), "running", columns=list(aggregates))
 
-    def recurrence(self, init: Column, step: Callable[[Column, Column], Column], name: str) -> TStream:
-        return self._next(_clock.recurrence(self.df, list(self.keys), self.payload, init, step, name), "recurrence", name=name)
+    def recurrence(self, init: Column, step: Callable[..., Column], name: str, back: int = 1, period: int | None = None, origin: int = 0) -> TStream:
+        """``step(before, x)`` at each event, or with ``period`` at each grid time at which there is a value; over a gap the last out stays.
+
+        ``before`` is the previous out, or with ``back`` over 1 a function: ``before(n)`` is the out of ``n <= back`` steps ago.
+        """
+        rows = self.chop(period, origin).df if period else self.df
+        return self._next(_clock.recurrence(rows, list(self.keys), self.payload, init, step, name, back), "recurrence", name=name, back=back, period=period)
 
     def by_key(self, fn, schema: str) -> DataFrame:
         return _clock.by_key(self.df, list(self.keys), fn, schema)
@@ -197,6 +222,10 @@ class TStream:
         """A user function (a pandas or Arrow UDF) of payload columns."""
         return self._next(self.df.withColumn(name, function(*columns)), "call", name=name)
 
+    def table(self, function, *columns: str) -> TStream:
+        """A user table function (``F.udtf``) of payload columns: a row for each that it yields, its columns beside the payload."""
+        return self._next(self.df.lateralJoin(function(*(F.col(c).outer() for c in columns))), "table", columns=list(columns))
+
     def tree(self) -> str:
         return self.plan.render()
 
@@ -231,6 +260,13 @@ class Windowed:
         """Any fold over a window's events in the order of time."""
         return self._out(_windows.folded(self.rows, list(self.stream.keys), self.stream.payload, init, step, finish, name), "reduce")
 
+    def per_window(self, operator: Callable[[TStream], TStream]) -> TStream:
+        """A stream-valued operator: ``operator`` on each window's events, clipped to it, as a stream; its end ``w_et`` becomes a key."""
+        keys = (*self.stream.keys, "w_et")
+        own = self.rows.select(*keys, F.col("c_st").alias("st"), F.col("c_et").alias("et"), *self.stream.payload)
+        out = operator(TStream(own, keys, Node("window's events", {}, (self.plan,))))
+        return TStream(out.df, keys, Node("per_window", {}, (out.plan,)))
+
     def time_weighted(self, value: str, name: str) -> TStream:
         """Mean weighted with the time that a value holds in the window."""
         held = F.col("c_et") - F.col("c_st")
