@@ -382,3 +382,40 @@ def test_moving_sums_and_slices(spark):
         assert found == {T: n for T in times if T % hop == 0 and (n := sum(st < T + b and et > T + a for _, st, et, _ in rows))}
     with pytest.raises(ValueError, match="slice"):
         s.slice(2, 2, 1)
+
+
+def test_live_intervals_idle_late_and_states(spark, tmp_path):
+    from tidemark.streaming import live_intervals
+    from tidemark.streaming.run import drained
+
+    # Three files, one batch each; the second has events that are late, the third comes after a long pause.
+    for i, rows in enumerate([[(1, 5, 50), (2, 9, 90)], [(1, 3, 30), (1, 8, 80), (2, 9, 91)], [(1, 500, 51), (2, 501, 92)]]):
+        spark.createDataFrame(rows, "k long, t long, v long").selectExpr("k", "t", "v", "timestamp_seconds(t) AS ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if i == 0:
+            schema = spark.read.parquet(f"{tmp_path}/in").schema
+
+    def run(**more):
+        live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return sorted(map(tuple, drained(live_intervals(live, "t", "k", "v", 0, **more)).collect()), key=str)
+
+    assert run() == sorted([(1, 0, 5, 50), (2, 0, 9, 90), (1, 5, 8, 80), (1, 8, 500, 51), (2, 9, 501, 92)], key=str)
+    assert run(idle=4) == sorted([(1, 1, 5, 50), (2, 5, 9, 90), (1, 5, 8, 80), (1, 496, 500, 51), (2, 497, 501, 92)], key=str)
+    assert run(idle=4, watermark=("ts", "1 second")) == run(idle=4)
+    late = [r for r in run(keep_late=True) if r[1] is None]
+    assert late == [(1, None, 3, 30), (2, None, 9, 91)]
+    with pytest.raises(ValueError, match="idle"):
+        live_intervals(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "t", "k", "v", 0, watermark=("ts", "1 second"))
+
+
+def test_a_local_application_gets_a_folder(spark):
+    from types import SimpleNamespace
+
+    from tidemark.streaming.run import shared_folder
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get("dir", d)), sparkContext=SimpleNamespace(master=master, applicationId=f"test-{master}", getConf=dict))
+
+    assert shared_folder(session("local[2]", dir="s3://x/y")) == "s3://x/y"
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]")).removesuffix("/")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(session("spark://host:7077"))

@@ -37,26 +37,46 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], time: str,
     return a.join(b, condition, "inner").select("a.*", *kept)
 
 
-def live_intervals(events: DataFrame, time: str, key: str, value: str, start: int) -> DataFrame:
+def live_intervals(events: DataFrame, time: str, key: str, value: str, start: int, idle: int | None = None, watermark: tuple[str, str] | None = None, keep_late: bool = False) -> DataFrame:
     """``(key, st, et, value)`` of events in the order of arrival: each holds from the key's previous event on.
 
-    ``time`` is a long.  The state of a key is its last time.  An event that is
-    not later than it has no interval.
+    ``time`` is a long.  The state of a key is its last time.  With ``idle`` (in
+    units of ``time``) an event holds for that long at most.  With ``watermark``
+    too, a timestamp column and the lateness it allows, a key's state goes once
+    the watermark has passed its last event by ``idle`` microseconds: no result
+    depends on it any more.  Without either, states stay.
+
+    An event that is not later than the key's last has no interval; with
+    ``keep_late`` it gives a row without ``st``.
     """
+    if watermark and idle is None:
+        raise ValueError("a watermark needs idle, so that results don't depend on when a state goes")
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     schema = f"`{key}` {kinds[key]}, st long, et long, `{value}` {kinds[value]}"
+    columns = [time, key, value]
+    if watermark:
+        events = events.withWatermark(*watermark)
+        columns.append(watermark[0])
 
     def step(own: tuple, frames: Iterator, state: GroupState):
+        import numpy as np
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else start
         rows = pd.concat(list(frames)).sort_values(time, kind="stable")
-        out = []
-        for t, v in zip(rows[time], rows[value], strict=True):
-            if t > last:
-                out.append((own[0], last, int(t), v))
-                last = int(t)
+        et = rows[time].to_numpy(np.int64)
+        before = np.maximum.accumulate(np.r_[last, et])[:-1]
+        st, held = before if idle is None else np.maximum(before, et - idle), et > before
+        out = pd.DataFrame({key: [own[0]] * len(rows), "st": pd.array(np.where(held, st, 0), "Int64"), "et": et, value: rows[value].to_numpy()})
+        out.loc[~held, "st"] = pd.NA
+        last = max(last, int(et[-1]))
         state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "st", "et", value])
+        if watermark:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (int(rows[watermark[0]].max().value // 1000) + idle) // 1000 + 1))
+        yield out if keep_late else out[held]
 
-    return events.select(key, time, value).groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
+    return events.select(*columns).groupBy(key).applyInPandasWithState(step, schema, "last long", "append", timeout)

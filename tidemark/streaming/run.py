@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for applications that have none set.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of this machine only where that is unset and Spark is local."""
+    """The session's ``spark.checkpoint.dir``; where that is unset and Spark is local, one folder of this machine for the application."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return _OWN[app]
 
 
 def drained(df: DataFrame) -> DataFrame:
