@@ -70,6 +70,10 @@ def test_substring_dedup_odd_tables(spark):
     out = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(rows, k=3).collect())
     assert out == [(0, 7, 6), (1, 6, 6), (1, 6, 6), (2, 4, 3)]
     assert substring_dedup.substring_dedup(rows.limit(0)).count() == 0
+    named = substring_dedup.substring_dedup(rows.withColumnRenamed("doc_id", "key"), id_col="key", k=3, keep_text=False)
+    assert named.columns == ["key", "n_words", "n_removed", "kept_sha256"] and sorted((r["key"] or 0, r["n_removed"]) for r in named.collect()) == [(0, 6), (1, 6), (1, 6), (2, 3)]
+    long = spark.createDataFrame([(1, " ".join(f"w{i % 5000}" for i in range(120_000)) + " " + "x" * 2_000_000)], "doc_id long, text string")
+    assert [(r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(long, keep_text=False).collect()] == [(120_001, 120_000)]
     cut = substring_dedup.replace_texts(docs(spark, ["a b c d", "x a b c y"]).withColumnRenamed("node", "n_chars"), length_col="n_chars", k=3)
     assert cut.columns == ["doc_id", "text", "key", "n_chars", "spans"] and sorted((r["text"], r["n_chars"]) for r in cut.collect()) == [("d", 1), ("x y", 3)]
 
@@ -329,6 +333,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
 
 
+def test_scratch_tables_are_cleared(spark, tmp_path, monkeypatch):
+    from tidemark.llm import scratch
+
+    monkeypatch.setattr(scratch, "shared_folder", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(scratch, "_MADE", [])
+    own = Scratch(spark)
+    a, b = own.table(spark.range(5)), own.buckets(spark.range(7), "id")
+    assert a.count() == 5 and b.count() == 7 and len(list(tmp_path.glob("tidemark/*/*"))) == 2
+    assert "Exchange" not in b.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    own.drop(a)
+    assert len(list(tmp_path.glob("tidemark/*/*"))) == 1
+    scratch.clear(spark)
+    assert not list(tmp_path.glob("tidemark/*")) and not scratch._MADE
+
+
 def test_forest_spans_what_is_linked():
     rng = np.random.default_rng(1)
     linked = rng.random((60, 60)) < 0.03

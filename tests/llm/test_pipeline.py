@@ -65,3 +65,23 @@ def test_contaminated_documents_go(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).select("doc_id", "n_tokens", "ids_sha256").collect())) == sorted(map(tuple, stages[5].select("doc_id", "n_tokens", "ids_sha256").collect()))
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, repeated rows, no rows, and a column with a clashing name."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    some = docs.limit(60)
+    odd = some.unionByName(some.limit(5)).unionByName(some.limit(4).selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "lang", "source", "n_chars")).unionByName(spark.createDataFrame([(10_000_001, None, None, None, None), (10_000_002, "", "en", "x", 0), (None, None, None, None, 3)], docs.schema))
+    odd = odd.selectExpr("*", "'clash' AS key", "1 AS head", "2 AS node", "3 AS `_key`", "4 AS cut", "5 AS hit")
+    for rows in (odd, odd.limit(0)):
+        now = rows
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, DATA)
+            path = f"{tmp_path}/{i}-{rows is odd}"
+            out.write.parquet(path)
+            before, now = now, spark.read.parquet(path)
+            assert now.count() <= before.count()
+            if i < 4:
+                assert now.columns == odd.columns
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/1-True").collect()]
+    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, fresh
 from tidemark.llm.words import NO_WORD, shingles, spans
 
 
@@ -191,8 +191,9 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     """The documents, with all their columns, that contain no item; no shuffle where the index is small."""
     own, index, scratch = _search(docs, items, item_id, item_text, threshold, k, index_bound, short_items)
     if own is None:
-        hit = _found_by_joins(docs, text_col, index, scratch).select(F.col("doc_key").alias("_hit")).distinct()
-        return docs.join(hit, _key(text_col) == F.col("_hit"), "left_anti")
+        (name,) = fresh(docs, "hit")
+        hit = _found_by_joins(docs, text_col, index, scratch).select(F.col("doc_key").alias(name)).distinct()
+        return docs.join(hit, _key(text_col) == F.col(name), "left_anti")
     sent = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches):

@@ -9,12 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.streaming.run import shared_folder
 
 
+#: Folders of this process's jobs.
+_MADE: list[str] = []
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables of all jobs so far; results that were not read yet need them."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of the frame's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 class Scratch:
-    """Tables of one job; those that a lazy result reads stay in the folder until it is cleared."""
+    """Tables of one job; those that a lazy result reads stay in the folder until ``clear``."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_folder(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
         self.n = 0
+        _MADE.append(self.top)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -37,7 +64,5 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that no unread result needs."""
-        jvm = self.spark._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, df._tidemark_path)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, fresh
 from tidemark.llm.words import BASE, BASE_INVERSE, _grown, mix, windows, word_hashes
 
 ANCHOR = 8
@@ -444,14 +444,15 @@ def cut_texts(docs: DataFrame, text_col: str = "text", k: int = 35, keep_text: b
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 35, keep_text: bool = True) -> DataFrame:
     """One row for each row: id, ``n_words``, ``n_removed``, ``kept_sha256`` of the kept words joined by one space and, on request, the ``kept`` text."""
     results = cut_texts(docs, text_col, k, keep_text)
-    ids = docs.select(F.col(id_col), text_key(F.col(text_col)).alias("key"))
-    return ids.join(results, "key").drop("key")
+    ids = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("key"))
+    joined = ids.join(results, "key").drop("key")
+    return joined.select(F.col("_id").alias(id_col), *joined.columns[1:])
 
 
 def replace_texts(docs: DataFrame, text_col: str = "text", length_col: str | None = None, k: int = 35) -> DataFrame:
     """The documents, with all their columns, with repeated spans cut from the text; ``length_col`` gets its new length."""
-    results = cut_texts(docs, text_col, k).select(F.col("key").alias("_cut_key"), F.col("kept").alias("_cut_text"))
-    rest = docs.withColumn("_cut_key", text_key(F.col(text_col))).drop(text_col)
-    joined = rest.join(results, "_cut_key")
-    new = {text_col: F.col("_cut_text")} | ({length_col: F.length("_cut_text").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
+    key, cut = fresh(docs, "key", "cut")
+    results = cut_texts(docs, text_col, k).select(F.col("key").alias(key), F.col("kept").alias(cut))
+    joined = docs.withColumn(key, text_key(F.col(text_col))).drop(text_col).join(results, key)
+    new = {text_col: F.col(cut)} | ({length_col: F.length(cut).cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
     return joined.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
