@@ -305,6 +305,7 @@ def test_slabs_change_nothing(spark, keys):
             assert order(whole) == order(cut)
         whole = fixed_intervals(rows, "t", keys, 9, ["i"])
         assert order(whole.pair("v")) == order(whole.pair("v", slab)) and order(whole.fill(500)) == order(whole.fill(500, slab))
+        assert order(whole.sliding(20, "v")) == order(whole.sliding(20, "v", slab)) and order(whole.moving_sum(20, "v")) == order(whole.moving_sum(20, "v", slab))
         points = rows.select("k", "t", "i")
         if keys:
             same = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))

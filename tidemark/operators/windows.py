@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.align import floor_div
-from tidemark.operators.clock import matched
+from tidemark.operators.clock import beside, matched
 
 
 def windowed(df: DataFrame, size: int, hop: int, origin: int = 0) -> DataFrame:
@@ -49,7 +49,23 @@ def on_grid(df: DataFrame, keys: list[str], size: int, hop: int, t0: int, t1: in
     return joined.select(*keys, (F.col("et") - F.lit(size)).alias("st"), "et", *(F.coalesce(F.col(c), F.lit(fill[c]).cast(df.schema[c].dataType)).alias(c) if c in fill else F.col(c) for c in df.columns if c not in (*keys, "st", "et")))
 
 
-def sliding(df: DataFrame, keys: list[str], size: int, value: Column) -> DataFrame:
+def run_up(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], slab: int | None = None) -> DataFrame:
+    """Adds running sums along ``order``, whose first column is a time; ``slab`` makes many tasks of a key, with one row for each slab carried."""
+    if not slab:
+        run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.sum(c).over(run) for n, c in sums.items()})
+    by = [*keys, "_slab"]
+    own = df.withColumn("_slab", floor_div(F.col(order[0]), slab))
+    totals = own.groupBy(*by).agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    earlier = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*by, *(F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in sums))
+    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = matched(own.withColumns({n: F.sum(c).over(run) for n, c in sums.items()}), carried, by, "left")
+    # Null only where there was no value yet, here or before.
+    return held.withColumns({n: F.coalesce(F.col(n) + F.col(f"_{n}"), n, f"_{n}") for n in sums}).drop("_slab", *(f"_{n}" for n in sums))
+
+
+def sliding(df: DataFrame, keys: list[str], size: int, value: Column, slab: int | None = None) -> DataFrame:
     """Count and sum over ``(T - size, T]`` at every change point T.
 
     An interval is in the window for T in ``(st, et + size - 1]``, so both are
@@ -57,11 +73,9 @@ def sliding(df: DataFrame, keys: list[str], size: int, value: Column) -> DataFra
     the size.
     """
     edges = df.select(*keys, value.alias("v"), "st", "et").select(*keys, F.inline(F.array(F.struct(F.col("st").alias("t"), F.lit(1).alias("n"), F.col("v").alias("v")), F.struct((F.col("et") + F.lit(size - 1)).alias("t"), F.lit(-1).alias("n"), (-F.col("v")).alias("v")))))
-    marks = (edges.repartition(*keys) if keys else edges).groupBy(*keys, "t").agg(F.sum("n").alias("dn"), F.sum("v").alias("dv"))
-    w = Window.partitionBy(*keys).orderBy("t")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = marks.select(*keys, F.col("t").alias("st"), F.lead("t").over(w).alias("et"), F.sum("dn").over(run).alias("n"), F.sum("dv").over(run).alias("sum"))
-    return out.filter("et IS NOT NULL AND n > 0")
+    marks = (edges.repartition(*keys) if keys and not slab else edges).groupBy(*keys, "t").agg(F.sum("n").alias("dn"), F.sum("v").alias("dv"))
+    out = run_up(beside(marks, keys, "t", F.col("t"), "et", before=False, slab=slab), keys, ["t"], {"n": F.col("dn"), "sum": F.col("dv")}, slab)
+    return out.select(*keys, F.col("t").alias("st"), "et", "n", "sum").filter("et IS NOT NULL AND n > 0")
 
 
 def over_range(df: DataFrame, keys: list[str], size: int, aggregates: dict[str, Column]) -> DataFrame:
@@ -70,7 +84,7 @@ def over_range(df: DataFrame, keys: list[str], size: int, aggregates: dict[str,
     return df.withColumns({n: c.over(w) for n, c in aggregates.items()})
 
 
-def moved(df: DataFrame, keys: list[str], size: int, value: Column) -> DataFrame:
+def moved(df: DataFrame, keys: list[str], size: int, value: Column, slab: int | None = None) -> DataFrame:
     """Adds ``n`` and ``sum`` over the intervals that end in ``(et - size, et]``, at each interval.
 
     An interval comes in at its end and goes out ``size`` later, so both are
@@ -78,8 +92,7 @@ def moved(df: DataFrame, keys: list[str], size: int, value: Column) -> DataFrame
     """
     held = F.struct(*[c for c in df.columns if c not in keys])
     edges = df.select(*keys, value.alias("_v"), "et", held.alias("_r")).select(*keys, F.inline(F.array(F.struct(F.col("et").alias("_t"), F.lit(1).alias("_k"), F.col("_v"), F.col("_r")), F.struct((F.col("et") + F.lit(size)).alias("_t"), F.lit(-1).alias("_k"), (-F.col("_v")).alias("_v"), F.lit(None).cast(df.select(held.alias("r")).schema["r"].dataType).alias("_r")))))
-    run = Window.partitionBy(*keys).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    out = edges.withColumn("n", F.sum("_k").over(run)).withColumn("sum", F.sum("_v").over(run)).filter("_k = 1")
+    out = run_up(edges, keys, ["_t", "_k"], {"n": F.col("_k"), "sum": F.col("_v")}, slab).filter("_k = 1")
     return out.select(*keys, "_r.*", "n", "sum")
 
 

@@ -165,13 +165,13 @@ class TStream:
         rows = _windows.bucketed(self.df, size, origin) if by == "end" else _windows.windowed(self.df, size, hop, origin)
         return Windowed(self, rows, size, hop, origin, Node("window", {"size": size, "hop": hop, "by": by}, (self.plan,)))
 
-    def sliding(self, size: int, value: Made) -> TStream:
+    def sliding(self, size: int, value: Made, slab: int | None = None) -> TStream:
         """``n``, ``sum`` over ``(T - size, T]`` at every change point."""
-        return self._next(_windows.sliding(self.df, list(self.keys), size, _made(value, Fields())), "sliding", size=size)
+        return self._next(_windows.sliding(self.df, list(self.keys), size, _made(value, Fields()), slab), "sliding", size=size)
 
-    def moving_sum(self, size: int, value: Made) -> TStream:
+    def moving_sum(self, size: int, value: Made, slab: int | None = None) -> TStream:
         """The payload with ``n`` and ``sum`` over what ended in the last ``size``, at every interval; one sort, whatever the size."""
-        return self._next(_windows.moved(self.df, list(self.keys), size, _made(value, Fields())), "moving_sum", size=size)
+        return self._next(_windows.moved(self.df, list(self.keys), size, _made(value, Fields()), slab), "moving_sum", size=size)
 
     def moving(self, size: int, **aggregates: Made) -> TStream:
         """Any aggregates over what ended in the last ``size``, at every interval; each looks at its whole window."""
