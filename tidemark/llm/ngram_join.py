@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import Numbered, components, forest
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, fresh
+from tidemark.llm.url_filter import bloom_constant, fitting_blocks, may_hold
 from tidemark.llm.words import mix, shingles
 
 #: Bytes of a sketch; classes of a bucket that is not split again; sketches in a block.
@@ -292,7 +293,18 @@ def _deeper(k: int, threshold: float):
     return run
 
 
-def _buckets_of(nodes: DataFrame, texts: DataFrame, k: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _with_texts(wanted: DataFrame, nodes: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
+    """``wanted`` (by ``node``) with each class's ``set`` and the ``text`` of its node.
+
+    A blocked Bloom filter of the nodes, of bounded size, keeps most texts that are not wanted out of the shuffle.
+    """
+    own = scratch.table(wanted.join(nodes.select("node", "set"), "node"))
+    blocks = fitting_blocks(own.count())
+    few = base.filter(may_hold(bloom_constant(own, "node", blocks), F.col("id"), blocks))
+    return own.hint("shuffle_merge").join(few, F.col("node") == F.col("id")).drop("id")
+
+
+def _buckets_of(nodes: DataFrame, base: DataFrame, k: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members of small buckets, and (path, node) of those that no path splits further."""
     small, large = met(nodes.select("node", F.explode("paths").alias("path")), SMALL)
     small, large = scratch.table(small), scratch.table(large)
@@ -304,9 +316,8 @@ def _buckets_of(nodes: DataFrame, texts: DataFrame, k: int, threshold: float, sc
             steps = nodes.select("node", F.explode(F.arrays_zip("deep", "parents")).alias("d")).select("node", F.col("d.deep").alias("to"), F.col("d.parents").alias("path"))
             split = large.join(steps, ["node", "path"]).select(F.col("to").alias("path"), "node", F.col("path").alias("parent"))
         else:
-            # Written, so that Spark knows its size and moves the texts only where it is large.
-            asked = scratch.table(large.groupBy("node").agg(F.collect_list("path").alias("parents")))
-            split = asked.join(texts, "node").select("node", "parents", "text", "set").mapInArrow(_deeper(k, threshold), "path long, node long, parent long").distinct()
+            asked = large.groupBy("node").agg(F.collect_list("path").alias("parents"))
+            split = _with_texts(asked, nodes, base, scratch).select("node", "parents", "text", "set").mapInArrow(_deeper(k, threshold), "path long, node long, parent long").distinct()
         split = scratch.table(split)
         found, more = met(split, SMALL)
         small, more = small.unionByName(scratch.table(found)), scratch.table(more)
@@ -318,8 +329,9 @@ def _buckets_of(nodes: DataFrame, texts: DataFrame, k: int, threshold: float, sc
     return small, dense.unionByName(large)
 
 
-def _compared(members: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Exact links (see ``_links``) of the members (group, node, copies, size) of groups, block by block."""
+def _compared(members: DataFrame, nodes: DataFrame, base: DataFrame, k: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """Exact links (see ``_links``) of the members (group, node) of groups, block by block."""
+    members = members.join(nodes.select("node", "copies", "size"), "node")
     sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
     placed = block_pairs(members.join(sizes, "group"), "group", "blocks").groupBy("node", "copies").agg(F.collect_list(F.struct("group", "one", "two", "own")).alias("tasks"))
 
@@ -338,7 +350,7 @@ def _compared(members: DataFrame, texts: DataFrame, k: int, threshold: float) ->
                         rows = []
             yield _sent(rows)
 
-    sent = placed.join(texts, "node").select("node", "copies", "tasks", "text", "set").mapInArrow(again, "group long, one int, two int, node long, copies long, own int, shingles binary")
+    sent = _with_texts(placed, nodes, base, scratch).select("node", "copies", "tasks", "text", "set").mapInArrow(again, "group long, one int, two int, node long, copies long, own int, shingles binary")
     return sent.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two", "node").mapInArrow(_links(threshold), "node long, other long, links long")
 
 
@@ -346,7 +358,7 @@ def _edges_of(linked: DataFrame) -> DataFrame:
     return linked.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
-def _parted(clusters: DataFrame, buckets: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float, scratch: Scratch) -> DataFrame:
+def _parted(clusters: DataFrame, buckets: DataFrame, nodes: DataFrame, base: DataFrame, k: int, threshold: float, scratch: Scratch) -> DataFrame:
     """The clusters, with chains parted: those of several blocks of which no bucket holds half are those of exact links in their buckets."""
     large = clusters.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
     members = scratch.table(buckets.join(clusters.join(large, "component"), "node"))
@@ -356,8 +368,8 @@ def _parted(clusters: DataFrame, buckets: DataFrame, nodes: DataFrame, texts: Da
     chains = scratch.table(most.filter(F.col("most") < DENSE * F.col("n")).select("component"))
     if chains.isEmpty():
         return clusters
-    own = members.join(chains, "component").select(F.col("path").alias("group"), "node").join(nodes.select("node", "copies", "size"), "node")
-    linked = scratch.table(_compared(own, texts, k, threshold))
+    own = members.join(chains, "component").select(F.col("path").alias("group"), "node")
+    linked = scratch.table(_compared(own, nodes, base, k, threshold, scratch))
     return scratch.table(clusters.join(chains, "component", "left_anti").select("node", "component").unionByName(components(_edges_of(linked), scratch)))
 
 
@@ -379,17 +391,16 @@ def _joined(base: DataFrame, threshold: float, k: int, recall: float, scratch: S
     classes = ids.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     # Of a class its least id stands for it; its row has all that equal sets share.
     nodes = scratch.table(classes.join(sets.filter(F.col("set").isNotNull()), (classes.node == sets.id) & (classes.set == sets.set)).select("node", classes.set, "copies", "size", "sketch", "paths", "deep", "parents").dropDuplicates(["node"]))
-    texts = base.join(nodes.select("node", "set"), F.col("id") == F.col("node")).select("node", "text", "set")
 
-    small, dense = _buckets_of(nodes, texts, k, threshold, scratch)
+    small, dense = _buckets_of(nodes, base, k, threshold, scratch)
     # Equal buckets are compared once.
     lists = small.groupBy("members").count().select(F.xxhash64("members", F.lit("list")).alias("path"), F.explode("members").alias("node"))
     buckets = scratch.table(lists.withColumn("blocks", F.lit(1).cast("long")).unionByName(dense.join(dense.groupBy("path").agg(F.ceil(F.count("*") / BUCKET).alias("blocks")), "path")).select("path", "node", "blocks"))
     compared = block_pairs(buckets, "path", "blocks").join(nodes.select("node", "sketch"), "node").select("path", "one", "two", "node", "sketch")
     edges = compared.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two", "node").mapInArrow(_edges(threshold - SLACK), "a long, b long")
-    clusters = _parted(scratch.table(components(edges, scratch)), buckets.select("path", "node"), nodes, texts, k, threshold, scratch)
+    clusters = _parted(scratch.table(components(edges, scratch)), buckets.select("path", "node"), nodes, base, k, threshold, scratch)
 
-    linked = scratch.table(_compared(clusters.select(F.col("component").alias("group"), "node").join(nodes.select("node", "copies", "size"), "node"), texts, k, threshold))
+    linked = scratch.table(_compared(clusters.select(F.col("component").alias("group"), "node"), nodes, base, k, threshold, scratch))
     links = linked.filter(F.col("other").isNull()).groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(_edges_of(linked), scratch)
 
@@ -400,9 +411,10 @@ def _joined(base: DataFrame, threshold: float, k: int, recall: float, scratch: S
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5, recall: float = 0.999) -> DataFrame:
     """The documents, with all their columns, that are the least id of their group; of rows with one id the one with the text that was compared stays, all with a null id do."""
     links = ngram_join(docs, id_col, text_col, threshold, k, recall)
-    heads = links.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_head")).distinct()
+    head, order = fresh(docs, "head", "order")
+    heads = links.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(head)).distinct()
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    kept = docs.join(heads, F.col(id_col) == F.col("_head"), "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
+    kept = docs.join(heads, F.col(id_col) == F.col(head), "left_semi").withColumn(order, first).filter(F.col(order) == 1).drop(order)
     return kept.unionByName(docs.filter(F.col(id_col).isNull())).select(docs.columns)
 
 

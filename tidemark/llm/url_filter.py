@@ -67,6 +67,21 @@ def bloom_words(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("words"))
 
 
+def fitting_blocks(n: int) -> int:
+    """Words of a filter of ``n`` keys: 16 bits a key, within bounds."""
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << max(0, n // 4 - 1).bit_length()))
+
+
+def may_hold(words: Column, key: Column, blocks: int) -> Column:
+    """Whether the filter holds the key: surely so for those put in, and for few others."""
+    return F.element_at(words, _block(key, blocks) + 1).bitwiseAND(_mask(key)) == _mask(key)
+
+
+def bloom_constant(keys: DataFrame, key: str, blocks: int) -> Column:
+    """The filter as a constant of the plan, of ``blocks`` words whatever there are of keys."""
+    return _constant(bloom_words(keys, key, blocks).first()["words"], "long")
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", blocks: int | None = None, max_path: int = 2048) -> DataFrame:
     """One row for each page: id, ``host``, ``path``, ``rule`` (null without one) and ``verdict``.
 
@@ -78,8 +93,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     # All are of bounded size: the filter has at most MOST_BLOCKS words, and there are at most ``max_path`` lengths.
     size = listed.agg(F.count("*").alias("n"), F.max(F.size(F.split("r_host", r"\."))).alias("labels")).first()
     if blocks is None:
-        blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << max(0, size["n"] // 4 - 1).bit_length()))
-    words = _constant(bloom_words(listed, "key", blocks).first()["words"], "long")
+        blocks = fitting_blocks(size["n"])
+    words = bloom_constant(listed, "key", blocks)
     lengths = _constant([r["n"] for r in listed.select(F.least(F.length("r_path"), F.lit(max_path)).alias("n")).distinct().collect()], "int")
     host, path = host_path(F.col(url_col))
     base = pages.select(F.col(id_col).alias("p_id"), F.col(url_col).alias("p_url"), host.alias("p_host"), path.alias("p_path"))
@@ -89,7 +104,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = F.filter(lengths, lambda n: n <= F.length("p_path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.struct(F.concat(s, F.substring("p_path", F.lit(1), n)).alias("key"), s.alias("host"), n.alias("n")))))
-    passing = F.filter(keys, lambda k: F.element_at(words, _block(k["key"], blocks) + 1).bitwiseAND(_mask(k["key"])) == _mask(k["key"]))
+    passing = F.filter(keys, lambda k: may_hold(words, k["key"], blocks))
     judged = base.withColumn("hits", passing)
 
     missed = judged.filter(F.size("hits") == 0).select(F.col("p_id").alias(id_col), F.col("p_host").alias("host"), F.col("p_path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
