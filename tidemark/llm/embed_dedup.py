@@ -7,14 +7,15 @@ pivots from its own vectors.  A class lives in the cell of its nearest pivot
 ``p`` and is copied to the cell of ``q`` unless that cell's members are too far:
 by the triangle inequality one within ``r`` needs ``d(x, q) - d(x, p) <= 2 r``,
 and on the other side of the plane between ``q`` and any pivot ``t`` that is near
-``x``, ``(d(x, q)^2 - d(x, t)^2) / (2 d(t, q)) <= r``.  So every class meets all
-within ``r`` in its own cell, and cells join independently.  A large cell is
-compared in pairs of blocks; link counts and forest edges leave a task, never
-pairs.
+``x``, ``(d(x, q)^2 - d(x, t)^2) / (2 d(t, q)) <= r``.  Copies only go to cells
+with a lesser number than the own one, so two classes within ``r`` meet once: in
+their cell, or in the lesser one of their two.  Cells join independently, in
+pairs of blocks: the members at home with each other and with the copies, never
+copies with copies.  Link counts and forest edges leave a task, never pairs.
 
-Where pivots don't tell a label's vectors apart (tried on the pivots themselves,
-see ``useful``), copies to most cells would cost more than they save.  Such a
-label is one cell, and its vectors are copied once for each of its blocks.
+Where pivots tell nothing (many dimensions without structure), a class is copied
+to every lesser cell; cells hold about a block, so this is no more than all pairs
+of blocks take.
 
 At most ``MOST_PIVOTS`` pivots with ``NUMBERS`` components in all are broadcast,
 however many vectors there are.  A task works in tiles of ``ROWS`` vectors.
@@ -35,13 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import Numbered, components
-from tidemark.llm.ngram_join import _grouped, block_pairs
+from tidemark.llm.ngram_join import _grouped
 from tidemark.llm.scratch import Scratch
 
 #: Classes of a cell; vectors and components in a block; pivots; components of all pivots; vectors of a tile; pivots near a vector.
-CELL, BLOCK, BLOCK_NUMBERS, MOST_PIVOTS, NUMBERS, ROWS, NEAR = 4096, 8192, 1 << 20, 8192, 1 << 20, 256, 4
-#: Share of all cells from which on copies are not worth it.
-WORTH = 0.4
+CELL, BLOCK, BLOCK_NUMBERS, MOST_PIVOTS, NUMBERS, ROWS, NEAR = 8192, 8192, 1 << 20, 8192, 1 << 20, 256, 4
 #: Copies that a task holds.
 HELD = 8192
 
@@ -58,31 +57,18 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def reached(far: np.ndarray, apart: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Own cell of each vector, and for each cell whether a vector within ``radius`` may live there; from distances to pivots and between them."""
+    """Own cell of each vector, and for each cell whether it is that or a lesser one in which a vector within ``radius`` may live; from distances to pivots and between them."""
     home = far.argmin(1)
     near = np.argpartition(far, min(NEAR, far.shape[1]) - 1, axis=1)[:, :NEAR]
     rows, square = np.arange(len(far)), far * far
     reach = far - far[rows, home][:, None] <= 2 * radius + 1e-9
     for t in (home, *near.T):
         reach &= square - square[rows, t][:, None] <= 2 * np.maximum(apart[t], 1e-12) * (radius + 1e-9) + 1e-9
+    reach &= np.arange(far.shape[1]) < home[:, None]
     reach[rows, home] = True
     return home, reach
 
 
-def useful(pivots: np.ndarray, radius: float) -> bool:
-    """Whether cells of these pivots save work: each pivot, as a vector among the others, must reach few of them."""
-    if len(pivots) < 3:
-        return False
-    apart = _distances(pivots, pivots)
-    total = 0
-    for at in range(0, len(pivots), ROWS):
-        far = apart[at : at + ROWS].copy()
-        own = np.arange(len(far))
-        far[own, at + own] = 4.0  # farther than any: itself is no cell here
-        total += int(reached(far, apart, radius)[1].sum())
-    return total / len(pivots) <= WORTH * (len(pivots) - 1)
-
-
 def _cells(pivots, radius: float):
     """Own cell and boundary copies of each class."""
     kinds = {"label": pa.string(), "cell": pa.int32(), "node": pa.int64(), "copies": pa.int64(), "home": pa.bool_(), "vector": pa.binary()}
@@ -116,41 +102,60 @@ def _cells(pivots, radius: float):
     return run
 
 
+def _tasks(placed: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks ``one``, ``two`` that its own one is in: of blocks at home, and of one at home with one of copies."""
+    size = F.sum(F.octet_length("vector")) / (8 * BLOCK_NUMBERS)
+    blocks = placed.groupBy("label", "cell", "home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(size)).cast("int").alias("n"))
+    blocks = blocks.groupBy("label", "cell").agg(*(F.coalesce(F.max(F.when(F.col("home") == home, F.col("n"))), F.lit(0)).alias(name) for home, name in ((True, "homes"), (False, "guests"))))
+    rows = placed.join(blocks, ["label", "cell"])
+    hashed = F.xxhash64("node", F.lit("block"))
+    own = F.when(F.col("home"), F.pmod(hashed, F.col("homes"))).otherwise(F.col("homes") + F.pmod(hashed, F.greatest("guests", F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("home"), F.col("homes") + F.col("guests")).otherwise(F.col("homes")) - 1)
+    rows = rows.withColumn("own", own).filter("homes > 0").withColumn("other", F.explode(others))
+    return rows.select("label", "cell", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node", "copies", "own", "vector")
+
+
 def _links(cosine: float):
-    """Link weights of the classes at home in a cell, and forest edges, for two of its blocks."""
+    """Link weights between the classes of a block, or of two, and forest edges."""
 
     def run(batches):
         for (_, _, one, two), rows in _grouped(batches, 4):
             nodes = [r[0] for r in rows]
             weight = np.array([r[1] for r in rows], np.float64)
-            home, own = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-            units = np.frombuffer(b"".join([r[4] for r in rows]), np.float64).reshape(len(rows), -1)
+            own = np.array([r[2] for r in rows])
+            units = np.frombuffer(b"".join([r[3] for r in rows]), np.float64).reshape(len(rows), -1)
             weights, group, edges = np.zeros(len(rows)), np.arange(len(rows)), []
             del rows
-            for at in range(0, len(nodes), ROWS):
-                part = slice(at, at + ROWS)
-                linked = units[part] @ units.T >= cosine
-                linked[np.arange(len(linked)), at + np.arange(len(linked))] = False
-                if one != two:
-                    linked &= own[part, None] != own[None, :]
-                linked &= home[part, None] | home[None, :]
+            # Within a block all rows with all; between two those of one with those of the other.
+            left = np.flatnonzero(own == one)
+            right = left if one == two else np.flatnonzero(own == two)
+            across, theirs = units[right], weight[right]
+            for at in range(0, len(left), ROWS):
+                mine = left[at : at + ROWS]
+                linked = units[mine] @ across.T >= cosine
+                if one == two:
+                    linked[np.arange(len(mine)), at + np.arange(len(mine))] = False
                 found = np.flatnonzero(linked.any(1))
-                weights[at + found] = linked[found] @ weight
+                if not len(found):
+                    continue
+                weights[mine[found]] += linked[found] @ theirs
+                if one != two:
+                    weights[right] += weight[mine[found]] @ linked[found]
                 for i in found.tolist():
-                    others = np.flatnonzero(linked[i])
+                    others = right[linked[i]]
                     heads, first = np.unique(group[others], return_index=True)
-                    new = heads != group[at + i]
+                    new = heads != group[mine[i]]
                     if new.any():  # a forest: one edge for each group that is met
-                        edges += [(nodes[at + i], nodes[j]) for j in others[first[new]].tolist()]
-                        group[np.isin(group, heads)] = group[at + i]
-            found = np.flatnonzero((weights > 0) & home).tolist()
+                        edges += [(nodes[mine[i]], nodes[j]) for j in others[first[new]].tolist()]
+                        group[np.isin(group, heads)] = group[mine[i]]
+            found = np.flatnonzero(weights).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in found] + [a for a, _ in edges], pa.int64()), pa.array([None] * len(found) + [b for _, b in edges], pa.int64()), pa.array([int(weights[i]) for i in found] + [0] * len(edges), pa.int64())], ["node", "other", "links"])
 
     return run
 
 
-def _pivots(classes: DataFrame, radius: float, cell: int) -> dict[str, list]:
-    """Of labels for which cells are useful, by label and length; at most MOST_PIVOTS with NUMBERS components."""
+def _pivots(classes: DataFrame, cell: int) -> dict[str, list]:
+    """By label and length, of those with more than ``cell`` classes; at most MOST_PIVOTS with NUMBERS components."""
     sizes = classes.groupBy(F.concat_ws("/", "label", F.size("vector")).alias("key"), F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
     # Cells grow with the table where pivots would be more than may be broadcast.
     row = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dim")).alias("numbers")).first()
@@ -161,7 +166,7 @@ def _pivots(classes: DataFrame, radius: float, cell: int) -> dict[str, list]:
     found: dict[str, list] = {}
     for row in drawn.orderBy("key", "part").collect():
         found.setdefault(row["key"], []).append(row["vector"])
-    return {key: vectors for key, vectors in found.items() if useful(_unit(np.array(vectors)), radius)}
+    return found
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, cell: int = CELL) -> DataFrame:
@@ -185,11 +190,9 @@ def _joined(rows: DataFrame, cosine: float, cell: int, scratch: Scratch) -> Data
     rows = scratch.table(rows.withColumn("fine", fine))
     classes = scratch.table(rows.filter("fine").groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
 
-    sent = rows.sparkSession.sparkContext.broadcast(_pivots(classes, radius, cell))
+    sent = rows.sparkSession.sparkContext.broadcast(_pivots(classes, cell))
     placed = scratch.table(classes.select("label", "node", "copies", "vector").mapInArrow(_cells(sent, radius), "label string, cell int, node long, copies long, home boolean, vector binary"))
-    blocks = placed.groupBy("label", "cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("vector")) / (8 * BLOCK_NUMBERS))).alias("blocks"))
-    tasks = block_pairs(placed.join(blocks, ["label", "cell"]), "cell", "blocks").select("label", "cell", "one", "two", "node", "copies", "home", "own", "vector")
-    linked = scratch.table(tasks.repartition("label", "cell", "one", "two").sortWithinPartitions("label", "cell", "one", "two", "node").mapInArrow(_links(cosine), "node long, other long, links long"))
+    linked = scratch.table(_tasks(placed).repartition("label", "cell", "one", "two").sortWithinPartitions("label", "cell", "one", "two", "node").mapInArrow(_links(cosine), "node long, other long, links long"))
     scratch.drop(placed)
     links = linked.filter(F.col("other").isNull()).groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(linked.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
