@@ -356,3 +356,19 @@ def test_forest_spans_what_is_linked():
     edges = forest(lambda i, rest: linked[i, rest], 60)
     pairs = [(i, j) for i in range(60) for j in range(i) if linked[i, j]]
     assert groups(60, edges) == groups(60, pairs) and len(edges) == 60 - len(set(groups(60, pairs)))
+
+
+def test_frequent_paths_are_large_without_meeting(spark, monkeypatch):
+    rows = spark.createDataFrame([(7, i) for i in range(300)] + [(i, i) for i in range(100, 400)] + [(5, 1), (5, 2), (6, 3), (6, 4), (6, 5)], "path long, node long")
+    for frequent in (16_384, 1):
+        monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+        small, large = ngram_join.met(rows, 3)
+        assert sorted(sorted(r["members"]) for r in small.collect()) == [[1, 2], [3, 4, 5]]
+        assert sorted(tuple(r) for r in large.collect()) == [(7, i) for i in range(300)]
+    monkeypatch.setattr(ngram_join, "FREQUENT", 16_384)
+    texts = near_copies(4, 80, 60)
+    monkeypatch.setattr(ngram_join, "SMALL", 5)
+    links = jaccard_links(texts)
+    count = Counter(x for pair in links for x in pair)
+    out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs(spark, texts)).collect()}
+    assert out == {i: (g, count[i]) for i, g in enumerate(groups(len(texts), links))}
