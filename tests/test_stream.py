@@ -377,6 +377,10 @@ def test_moving_sums_and_slices(spark):
     s = stream(spark, rows)
     out = got(s.moving_sum(12, "v"))
     assert [r[-2:] for r in out] == [(len(x := [v for _, _, e, v in rows if et - 12 < e <= et]), sum(x)) for _, _, et, _ in rows]
+    for size in (1, 3, 12, 1000):
+        out = got(s.moving_extremes(size, "v"))
+        own = [[v for _, _, e, v in rows if et - size < e <= et] for _, _, et, _ in rows]
+        assert [r[-2:] for r in out] == [(min(x), max(x)) for x in own]
     for a, b, hop in ((-7, -2, 3), (2, 9, 4), (-3, 5, 5)):
         found = {r[2]: r[3] for r in got(s.slice(a, b, hop).agg(n=F.count("*")))}
         times = range(-12, t + 12)

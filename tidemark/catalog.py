@@ -438,6 +438,11 @@ def moving_range(spark, sf_dir):
     return users(spark, sf_dir).select(cents="cents").moving(3 * DAY, s=F.sum("cents"), hi=F.max("cents")).df.drop("cents")
 
 
+@query(f"WITH {IV} SELECT user_id, st, et, min(cents) OVER w AS lo, max(cents) OVER w AS hi FROM iv WINDOW w AS (PARTITION BY user_id ORDER BY et RANGE BETWEEN {3 * DAY - 1} PRECEDING AND CURRENT ROW)")
+def moving_extremes(spark, sf_dir):
+    return users(spark, sf_dir).select(cents="cents").moving_extremes(3 * DAY, "cents").df.drop("cents")
+
+
 @query(f"WITH {_uniform(1)} SELECT user_id, st, et, CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY et ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM un")
 def moving_sum_10(spark, sf_dir):
     return uniform(spark, sf_dir, 1).moving_sum(10, "cents").select(s="sum").df

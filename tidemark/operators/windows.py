@@ -96,6 +96,27 @@ def moved(df: DataFrame, keys: list[str], size: int, value: Column, slab: int |
     return out.select(*keys, "_r.*", "n", "sum")
 
 
+def extremes(df: DataFrame, keys: list[str], size: int, value: Column) -> DataFrame:
+    """Adds ``lo`` and ``hi`` over the intervals that end in ``(et - size, et]``, at each interval.
+
+    Time is cut into blocks as long as the window, so a window is the end of one
+    block and the beginning of the next: the extremes of the beginnings and ends
+    of blocks, each found in one pass, meet.  Linear after the sorts, and a block
+    of a key is a task.
+    """
+    order = Window.partitionBy(*keys, "_b")
+    upto = order.orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    since = order.orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    own = df.select(*keys, floor_div(F.col("et") - 1, size).alias("_b"), F.col("et").alias("_t"), F.struct(*[c for c in df.columns if c not in keys]).alias("_r"), value.alias("_v"))
+    own = own.withColumns({"_upto": F.struct(F.min("_v").over(upto).alias("lo"), F.max("_v").over(upto).alias("hi")), "_since": F.struct(F.min("_v").over(since).alias("lo"), F.max("_v").over(since).alias("hi"))})
+    # What an interval begins, as seen from a window that ends just before it falls out.
+    ends = own.select(*keys, (F.col("_b") + 1).alias("_b"), (F.col("_t") + F.lit(size)).alias("_t"), "_since")
+    both = own.drop("_since", "_v").unionByName(ends, allowMissingColumns=True)
+    later = order.orderBy(F.desc("_t"), F.col("_r").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_since", F.last("_since", ignorenulls=True).over(later)).filter(F.col("_r").isNotNull())
+    return out.select(*keys, "_r.*", F.least("_upto.lo", "_since.lo").alias("lo"), F.greatest("_upto.hi", "_since.hi").alias("hi"))
+
+
 def normalized(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """``(v - mean) / stddev`` (population) within each row's window; null where all values are equal.
 

@@ -173,6 +173,10 @@ class TStream:
         """The payload with ``n`` and ``sum`` over what ended in the last ``size``, at every interval; one sort, whatever the size."""
         return self._next(_windows.moved(self.df, list(self.keys), size, _made(value, Fields()), slab), "moving_sum", size=size)
 
+    def moving_extremes(self, size: int, value: Made) -> TStream:
+        """The payload with ``lo`` and ``hi`` over what ended in the last ``size``, at every interval; linear after the sorts."""
+        return self._next(_windows.extremes(self.df, list(self.keys), size, _made(value, Fields())), "moving_extremes", size=size)
+
     def moving(self, size: int, **aggregates: Made) -> TStream:
         """Any aggregates over what ended in the last ``size``, at every interval; each looks at its whole window."""
         return self._next(_windows.over_range(self.df, list(self.keys), size, {n: _made(v, Fields()) for n, v in aggregates.items()}), "moving", size=size)
