@@ -71,19 +71,6 @@ class SuffixAutomaton:
         self.more: dict[int, dict[int, int]] = {}
         self.link, self.length, self.count = array("i", [-1]), array("i", [0]), array("q", [0])
 
-    def _next(self, state: int, w: int) -> int:
-        """Where ``w`` leads, or -1."""
-        if self.word[state] == w:
-            return self.to[state]
-        more = self.more.get(state)
-        return more.get(w, -1) if more else -1
-
-    def _set(self, state: int, w: int, to: int) -> None:
-        if self.word[state] in (-1, w):
-            self.word[state], self.to[state] = w, to
-        else:
-            self.more.setdefault(state, {})[w] = to
-
     def _state(self, length: int, count: int) -> int:
         self.word.append(-1)
         self.to.append(-1)
@@ -96,35 +83,50 @@ class SuffixAutomaton:
         ids, word, to, more, link, length, count = self.ids, self.word, self.to, self.more, self.link, self.length, self.count
         last = 0
         for w in [ids.setdefault(w, len(ids)) for w in words]:
-            # As _next and _set say, written out for speed.
-            seen = to[last] if word[last] == w else more[last].get(w, -1) if last in more else -1
+            first = word[last]
+            seen = to[last] if first == w else more[last].get(w, -1) if last in more else -1
             if seen >= 0:
                 last = seen if length[seen] == length[last] + 1 else self._clone(last, seen, w)
                 count[last] += weight
                 continue
             new, p, q = self._state(length[last] + 1, weight), last, -1
             while p >= 0:
-                if word[p] < 0:
+                if first < 0:
                     word[p], to[p] = w, new
-                else:
-                    q = to[p] if word[p] == w else more[p].get(w, -1) if p in more else -1
+                elif p in more:
+                    own = more[p]
+                    q = to[p] if first == w else own.get(w, -1)
                     if q >= 0:
                         break
-                    self._set(p, w, new)
+                    own[w] = new
+                elif first == w:
+                    q = to[p]
+                    break
+                else:
+                    more[p] = {w: new}
                 p = link[p]
+                first = word[p]
             if p >= 0:
                 link[new] = q if length[q] == length[p] + 1 else self._clone(p, q, w)
             last = new
 
     def _clone(self, p: int, q: int, w: int) -> int:
+        word, to, more, link = self.word, self.to, self.more, self.link
         new = self._state(self.length[p] + 1, 0)
-        self.word[new], self.to[new] = self.word[q], self.to[q]
-        if q in self.more:
-            self.more[new] = dict(self.more[q])
-        self.link[new], self.link[q] = self.link[q], new
-        while p >= 0 and self._next(p, w) == q:
-            self._set(p, w, new)
-            p = self.link[p]
+        word[new], to[new] = word[q], to[q]
+        if q in more:
+            more[new] = dict(more[q])
+        link[new], link[q] = link[q], new
+        while p >= 0:
+            if word[p] == w:
+                if to[p] != q:
+                    break
+                to[p] = new
+            elif p in more and more[p].get(w) == q:
+                more[p][w] = new
+            else:
+                break
+            p = link[p]
         return new
 
     def finish(self) -> None:
