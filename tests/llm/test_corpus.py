@@ -360,12 +360,12 @@ def test_forest_spans_what_is_linked():
 
 def test_frequent_paths_are_large_without_meeting(spark, monkeypatch):
     rows = spark.createDataFrame([(7, i) for i in range(300)] + [(i, i) for i in range(100, 400)] + [(5, 1), (5, 2), (6, 3), (6, 4), (6, 5)], "path long, node long")
-    for frequent in (16_384, 1):
+    for frequent in (4096, 1):
         monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
         small, large = ngram_join.met(rows, 3)
         assert sorted(sorted(r["members"]) for r in small.collect()) == [[1, 2], [3, 4, 5]]
         assert sorted(tuple(r) for r in large.collect()) == [(7, i) for i in range(300)]
-    monkeypatch.setattr(ngram_join, "FREQUENT", 16_384)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 4096)
     texts = near_copies(4, 80, 60)
     monkeypatch.setattr(ngram_join, "SMALL", 5)
     links = jaccard_links(texts)

@@ -32,7 +32,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +44,7 @@ from tidemark.llm.words import mix, shingles
 #: Bytes of a sketch; classes of a bucket that is not split again; sketches in a block.
 BINS, SMALL, BUCKET = 128, 64, 1024
 #: Paths at most that are known to be large without meeting.
-FREQUENT = 16_384
+FREQUENT = 4096
 #: Steps of a path at most; share of a bucket that no further step would split.
 DEPTH, DENSE = 6, 0.5
 #: Classes and shingles in a block of the exact comparison.
@@ -191,16 +190,14 @@ def met(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Buckets of (path, node): members of those with at most ``most``, and (path, node) of larger ones.
 
     The members of a bucket that holds a good part of all rows would fill a task
-    only to learn that it is large.  Such paths show in single batches; at most
-    ``FREQUENT`` of them are broadcast, and their rows stay where they are.
+    only to learn that it is large.  Such paths show in single batches, and the
+    rows of at most ``FREQUENT`` of them stay where they are.
     """
     rows = rows.select("path", "node")
     often = rows.select("path").mapInArrow(_frequent(most), "path long").groupBy("path").count().orderBy(F.desc("count"), "path").limit(FREQUENT)
     large = [r["path"] for r in often.collect()]
-    rest, here = rows, rows.limit(0)
-    if large:
-        known = F.broadcast(rows.sparkSession.createDataFrame(pd.DataFrame({"path": large}), "path long"))
-        rest, here = rows.join(known, "path", "left_anti"), rows.join(known, "path", "left_semi")
+    known = F.expr(f"path IN ({', '.join(f'{p}L' for p in large)})") if large else F.lit(False)
+    rest, here = rows.filter(~known), rows.filter(known)
     found = rest.repartition("path").sortWithinPartitions("path", "node").mapInArrow(_buckets(most), "path long, members array<long>")
     return found.filter(F.size("members") > 1).select("members"), found.filter(F.size("members") == 1).select("path", F.col("members")[0].alias("node")).unionByName(here)
 
