@@ -76,7 +76,9 @@ def live_intervals(events: DataFrame, time: str, key: str, value: str, start: in
         state.update((last,))
         if watermark:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (int(rows[watermark[0]].max().value // 1000) + idle) // 1000 + 1))
-        yield out if keep_late else out[held]
+        out = out if keep_late else out[held]
+        if len(out):
+            yield out
 
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
     return events.select(*columns).groupBy(key).applyInPandasWithState(step, schema, "last long", "append", timeout)
