@@ -215,6 +215,20 @@ def test_html_names_that_only_look_like_noise():
     assert html_extract.Page(page(f"<main><h1>Title</h1><p>{LONG}</p>{comments}</main>")).extracted([]) == text
 
 
+def test_html_of_usual_systems():
+    text, more = LONG.strip(), f"<p>{LONG * 4}</p>"
+    blog = f"""<html><body class="post-template single has-sidebar"><div id="page"><a class="skip-link" href="#c">Skip</a><header id="masthead" class="site-header"><p>My blog</p><nav>Home</nav></header>
+    <div class="content-area"><main class="site-main"><article class="post-1 post type-post hentry category-news tag-social"><header class="entry-header"><h1 class="entry-title">Title</h1></header><div class="entry-content"><p>{LONG}</p>
+    <div class="sharedaddy sd-sharing-enabled"><h3>Share this</h3></div><div id="jp-relatedposts" class="jp-relatedposts">Related</div></div><footer>Filed</footer></article><nav class="post-navigation">Next</nav>
+    <div id="comments" class="comments-area"><ol class="comment-list"><li class="comment"><article class="comment-body">{more}</article></li></ol><div class="comment-respond"><form>Reply</form></div></div></main></div>
+    <aside class="widget-area"><section class="widget">{more}</section></aside></div><footer class="site-footer">Powered</footer></body></html>"""
+    assert html_extract.Page(blog).extracted([]) == f"Title\n{text}"
+    widgets = f'<div class="content"><div class="main section"><div class="widget Blog"><div class="hfeed"><div class="post hentry"><h3 class="post-title">Title</h3><div class="post-body">{LONG}<br><br>end</div></div></div><div class="comments">{more}</div></div></div><div class="sidebar"><div class="widget">{more}</div></div></div>'
+    assert html_extract.Page(page(widgets)).extracted([]) == f"Title\n{text} end"
+    app = f'<div id="app"><div class="layout-header">Menu</div><div class="article-page"><div class="article-page__header"><h1>Title</h1></div><div class="article-page__body"><p>{LONG}</p><div class="ad-slot">Ad</div></div></div><div class="newsletter-signup"><p>{LONG}</p></div></div>'
+    assert html_extract.Page(page(app)).extracted([]) == f"Title\n{text}"
+
+
 HOSTILE = {
     "deep": "<div>", "classes": "<div class='a b-1'>", "quotes": '<a "', "values": '<a b="', "declarations": "<!", "ends": "</", "stray": "<", "open tags": "<a ", "comments": "<!-- ", "svg": "<svg><svg></svg>", "videos": "<video>",
     "noise": "<span class=ad>", "in noise": "<span class=ad><p>x", "spans": "<div class=ad><span>", "forms": "<form><p>x", "lists": "<ul><li>a", "links": "<a href=x>b", "tables": "<table><tr><td>", "references": "&amp", "names": "<a" + "b" * 50, "equals": "= ", "attributes": "<a b='c\" ", "scripts": "<script>",

@@ -63,7 +63,7 @@ SKIP = frozenset("nav footer aside form select button dialog menu head".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions banner banners sidebar sidebars sidenav menu menus nav navbar navigation topnav breadcrumb breadcrumbs "
-    "footer footnav header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations trending "
+    "foot footer footnav header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing sharedaddy addtoany related relatedposts outbrain taboola recommended recommendations trending "
     "comment comments commentlist disqus respond reply replies discussion search pagination pager widget widgets toolbar skip hidden".split()
 )
 #: Words of what may as well be around a page's text (and forms may), and how sure noise is: opened where it has most of
