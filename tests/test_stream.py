@@ -424,3 +424,12 @@ def test_a_local_application_gets_a_folder(spark):
     assert shared_folder(session("local[2]")) == shared_folder(session("local[2]")).removesuffix("/")
     with pytest.raises(ValueError, match="checkpoint"):
         shared_folder(session("spark://host:7077"))
+
+
+def test_slabs_are_derived_from_the_largest_key(spark):
+    rows = [(1, i, i + 1, 1) for i in range(1000)] + [(2, 0, 5000, 1)]
+    s = stream(spark, rows)
+    assert s.slab_for(100) == 100 and s.slab_for(1000) is None and stream(spark, []).slab_for() is None
+    other = stream(spark, [(1, 3 * i, 3 * i + 2, 2) for i in range(300)])
+    joined = lambda slab: sum(r["et"] - r["st"] for r in s.join(other, slab=slab, v=lambda a, b: b.v).df.collect())
+    assert joined(s.slab_for(100)) == joined(None) == 600

@@ -42,9 +42,9 @@ def events(spark: SparkSession, sf_dir: str, t0: int | None = None, t1: int | No
     return df.withColumn("cents", F.round(F.col("value") * 100).cast("long"))
 
 
-def users(spark: SparkSession, sf_dir: str) -> TStream:
-    """Per user: each event holds since the one before."""
-    return to_intervals(events(spark, sf_dir), "t", ["user_id"], START, ["event_id"])
+def users(spark: SparkSession, sf_dir: str, t0: int | None = None) -> TStream:
+    """Per user: each event holds since the one before, or since ``t0``; then earlier events are not read."""
+    return to_intervals(events(spark, sf_dir, t0), "t", ["user_id"], t0 or START, ["event_id"])
 
 
 def kind(spark: SparkSession, sf_dir: str, event_type: str, hours: int = 72, keys=("user_id",), slab: int | None = None, t0: int | None = None, t1: int | None = None) -> TStream:
@@ -163,7 +163,8 @@ def shift_1h(spark, sf_dir):
 
 @query(f"WITH {IV} SELECT user_id, greatest(st, {START + 5 * DAY}) AS st, least(et, {START + 9 * DAY}) AS et, cents FROM iv WHERE et > {START + 5 * DAY} AND st < {START + 9 * DAY}")
 def clip_days(spark, sf_dir):
-    return users(spark, sf_dir).select(cents="cents").clip(START + 5 * DAY, START + 9 * DAY).df
+    """Some days: what an event before them began holds from their start on, so such events are not read."""
+    return users(spark, sf_dir, START + 5 * DAY).select(cents="cents").clip(START + 5 * DAY, START + 9 * DAY).df
 
 
 @query(f"WITH {EV}, {_kind('a', 'click')} SELECT user_id, greatest(st, {START + 5 * DAY}) AS st, least(et, {START + 9 * DAY}) AS et, cents FROM a WHERE et > {START + 5 * DAY} AND st < {START + 9 * DAY}")

@@ -54,9 +54,10 @@ def checked_intervals(df: DataFrame, keys: list[str], st: str = "st", et: str =
 def read_events(spark: SparkSession, path: str, time: str, columns: list[str], kind: str = "parquet", t0: int | None = None, t1: int | None = None) -> DataFrame:
     """The wanted columns of an event table and its time as a tick ``t``; only events in ``(t0, t1]``, where given.
 
-    The bounds are put on the stored column, so they reach the scan.  A stream
-    of ``fixed_intervals`` is whole within ``(t0, t1]`` when events up to ``t1``
-    plus their duration are read.
+    The bounds are put on the stored column, so they reach the scan.  Within
+    ``(t0, t1]`` a stream of ``to_intervals`` with ``start=t0`` is whole when
+    events after ``t0`` are read (up to each key's first one after ``t1``), and
+    one of ``fixed_intervals`` when those up to ``t1`` plus their duration are.
     """
     from tidemark.functions import tick
 

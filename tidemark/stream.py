@@ -90,6 +90,15 @@ class TStream:
         """Dealt by key once; the operators after it then need no exchange of their own."""
         return self._next(self.df.repartition(*self.keys), "partitioned") if self.keys else self
 
+    def slab_for(self, rows: int = 1_000_000) -> int | None:
+        """A width for ``slab=`` that gives the key with most intervals about ``rows`` of them in each; None where no key has more.
+
+        Runs an aggregate; takes that key's intervals as evenly spread.
+        """
+        counts = self.df.groupBy(*self.keys).agg(F.count("*").alias("n"), (F.max("et") - F.min("st")).alias("span"))
+        most = counts.agg(F.max(F.struct("n", "span")).alias("m")).first()["m"]
+        return None if most is None or most["n"] <= rows else max(1, most["span"] * rows // most["n"])
+
     # Joins.
 
     def align(self, condition: Callable[..., Column], columns: dict[str, Made], *others: TStream, offsets: tuple[int, ...] | None = None, period: int = 1, origin: int = 0, slab: int | None = None) -> TStream:
