@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import Numbered, components, forest
 from tidemark.llm.scratch import Scratch, fresh
-from tidemark.llm.url_filter import bloom_constant, fitting_blocks, may_hold
+from tidemark.llm.url_filter import bloom_words, fitting_blocks, may_hold
 from tidemark.llm.words import mix, shingles
 
 #: Bytes of a sketch; classes of a bucket that is not split again; sketches in a block.
@@ -325,7 +325,8 @@ def _with_texts(wanted: DataFrame, nodes: DataFrame, base: DataFrame, scratch: S
     """
     own = scratch.table(wanted.join(nodes.select("node", "set"), "node"))
     blocks = fitting_blocks(own.count())
-    few = base.filter(may_hold(bloom_constant(own, "node", blocks), F.col("id"), blocks))
+    words = bloom_words(own, "node", blocks).scalar()  # a subquery: the words are not part of the plan
+    few = base.filter(may_hold(words, F.col("id"), blocks))
     return own.hint("shuffle_merge").join(few, F.col("node") == F.col("id")).drop("id")
 
 
