@@ -84,7 +84,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 2.
     for text in texts:
         parts = list(features(text))
         ids, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0))
-        docs.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
+        docs.append((ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
