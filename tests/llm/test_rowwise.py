@@ -1,6 +1,7 @@
 """Operators that work row by row: BPE, license scans, URL filters, HTML extraction, quality, decontamination."""
 
 import hashlib
+import os
 import random
 import struct
 import time
@@ -422,6 +423,24 @@ def test_licenses_against_brute_force():
     assert n > 30
 
 
+def test_licenses_are_ranked_before_they_are_aligned(monkeypatch):
+    """Compression chooses what is aligned: nothing below ``rank``, and the template that saves the most first."""
+    asked, align = [], license_scan.aligned
+    monkeypatch.setattr(license_scan, "aligned", lambda wanted, *rest: asked.append(len(wanted)) or align(wanted, *rest))
+    written = "Released under the MIT License. This work is licensed under the GNU Affero General Public License, version 3.".split()
+    assert list(license_scan.Scanner(rank=9.0).confirmed(written)) == [] and asked == []
+    scanner = license_scan.Scanner()
+    assert [r[2] for r in scanner.confirmed(written)] == ["AGPL-#", "MIT"]
+    names = [t[1] for t in scanner.templates]
+    both = [max((n for n, name in enumerate(names) if name == x), key=lambda n: scanner.ranked(n, written, 0, len(written))) for x in ("AGPL-#", "MIT")]
+    assert asked[0] == len(max((scanner.ranked(n, written, 0, len(written)), scanner.templates[n][2]) for n in both)[1])
+    # Text around a notice hides what the template saves of it; pieces of the window show it.
+    far = [*"the river of stone went on its way by the mill and under seven old bridges".split()] * 60
+    notice = "Licensed under CC BY-NC 4.0.".split()
+    n = next(i for i, t in enumerate(license_scan.TEMPLATES) if t[2] == "Licensed under CC BY-NC #.")
+    assert scanner.ranked(n, far, 0, len(far)) < scanner.rank <= scanner.ranked(n, [*far, *notice, *far], 0, 2 * len(far) + len(notice))
+
+
 def test_licenses_odd_rows(spark):
     rows = spark.createDataFrame([(1, "Released under the MIT License.", "x", "y"), (None, "Released under the MIT License.", "x", "y"), (1, "Released under the MIT License.", "x", "y")], "doc_id int, text string, license string, block string")
     out = license_scan.scan(rows).collect()

@@ -8,9 +8,12 @@ with the fewest differences: the share of its words that are there must reach
 license may be missing, and none that makes another one of it (``lesser``,
 ``nc``) may be between.  Such a span has
 at most twice the template's words, so a block of any length is gone through in
-windows of four times its words, overlapping by half.  Each span is compressed
-alone and with its template as a zstandard raw dictionary; the bytes saved, as a
-share of what the template itself compresses to, must reach ``rank`` and rank
+windows of four times its words, overlapping by half.  First each window, and
+pieces of it where the text around hides the gain, is compressed alone and with
+each template whose words are there as a zstandard raw dictionary.  The bytes
+saved, as a share of what the template itself compresses to, rank windows and
+templates; those that reach ``rank`` are aligned, from the largest share on.  A
+span is compressed so again, must reach ``rank`` too, and its share ranks
 templates with equal wording.
 
 Documents without license wording are dropped by a JVM filter, and the rest are
@@ -194,6 +197,23 @@ class Scanner:
         _, _, _, given, size = self.templates[n]
         return (len(self.plain.compress(raw)) - len(given.compress(raw))) / size
 
+    def ranked(self, n: int, written: list[str], lo: int, hi: int) -> float:
+        """The largest share that a template saves of a window, or, where that is too little, of pieces of it.
+
+        Much text around a notice hides what the template saves of it, so pieces get shorter, down to the template's words.
+        """
+        size, best = hi - lo, -np.inf
+        least = len(self.coded[n][0])
+        while True:
+            last = max(lo, hi - size)
+            for at in (*range(lo, last, max(1, size // 12)), last):
+                best = max(best, self.saved(n, " ".join(written[at : at + size]).encode("utf-8", "replace")))
+                if best >= self.rank:
+                    return best
+            if size <= least:
+                return best
+            size = max(least, size * 3 // 4)
+
     def confirmed(self, written: list[str]):
         """(first word, end, name, version, share saved, share of words, missing, added) of the spans whose wording confirms a license."""
         own = [w.lower().strip(_OUTER) for w in written]
@@ -201,12 +221,17 @@ class Scanner:
         codes = np.array([self.numbers.get(w, 0) for w in plain], np.int64)
         heap: list[tuple] = []
 
-        def look(n: int, lo: int, hi: int):
-            """The best span of a template between two words."""
+        def enough(n: int, lo: int, hi: int) -> bool:
+            """Whether enough of a template's words, and all that name its license, are between two words."""
             coded, counts, most_missing, needed = self.coded[n]
             there = np.bincount(codes[lo:hi], minlength=len(counts))[: len(counts)]
-            if np.minimum(there, counts).sum() < len(coded) - most_missing or not there[coded[needed]].all():
+            return np.minimum(there, counts).sum() >= len(coded) - most_missing and bool(there[coded[needed]].all())
+
+        def look(n: int, lo: int, hi: int):
+            """The best span of a template between two words."""
+            if not enough(n, lo, hi):
                 return
+            coded, _, most_missing, needed = self.coded[n]
             pairs = aligned(coded, codes[lo:hi], most_missing, needed, np.where(np.isin(codes[lo:hi], self.refuting[n]), len(coded) + 1, 1))
             if pairs is None:
                 return
@@ -220,6 +245,7 @@ class Scanner:
             differ = len(coded) - len(pairs) + end - first - len(pairs)
             heapq.heappush(heap, (differ / len(coded), -len(pairs), -saved, self.templates[n][1], n, first, end, lo, hi, pairs))
 
+        ranked: list[tuple] = []
         present = np.bincount(codes, minlength=len(self.numbers) + 1)
         for n, (coded, counts, most_missing, needed) in enumerate(self.coded):
             if not present[coded[needed]].all() or np.minimum(present[: len(counts)], counts).sum() < len(coded) - most_missing:
@@ -228,7 +254,11 @@ class Scanner:
             begins = np.arange(0, max(1, len(codes) - 2 * len(coded)), 2 * len(coded))
             ends = np.minimum(begins + 4 * len(coded), len(codes))
             for k in np.flatnonzero(there[ends] - there[begins] >= len(coded) - most_missing):
-                look(n, int(begins[k]), int(ends[k]))
+                lo, hi = int(begins[k]), int(ends[k])
+                if enough(n, lo, hi) and (share := self.ranked(n, written, lo, hi)) >= self.rank:
+                    ranked.append((-share, self.templates[n][1], n, lo, hi))
+        for _, _, n, lo, hi in sorted(ranked):
+            look(n, lo, hi)
 
         taken: list[list] = [[] for _ in written]
         while heap:
