@@ -349,6 +349,25 @@ def test_scratch_tables_are_cleared(spark, tmp_path, monkeypatch):
     assert not list(tmp_path.glob("tidemark/*")) and not scratch._MADE
 
 
+def test_scratch_tables_keep_the_drivers_heap_small(spark, monkeypatch):
+    """Each table that is written collects the driver's garbage if that has spread over half of the heap."""
+    from types import SimpleNamespace
+
+    from tidemark.llm import scratch
+
+    asked = []
+    monkeypatch.setattr(scratch, "tidy", asked.append)
+    Scratch(spark).table(spark.range(3))
+    assert asked == [spark]
+    monkeypatch.undo()
+    for total, runs in ((40, 0), (60, 1)):
+        collected = []
+        runtime = SimpleNamespace(totalMemory=lambda total=total: total, maxMemory=lambda: 100)
+        lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda runtime=runtime: runtime), System=SimpleNamespace(gc=lambda collected=collected: collected.append(1)))
+        scratch.tidy(SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang))))
+        assert len(collected) == runs
+
+
 def test_forest_spans_what_is_linked():
     rng = np.random.default_rng(1)
     linked = rng.random((60, 60)) < 0.03

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,18 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _MADE.pop())
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage where that has spread over half of the heap.
+
+    A job of many small queries leaves plans, events of tasks and broadcasts behind; until they are collected the heap
+    grows to all it may have, and Spark keeps the shuffle files of finished tables.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > runtime.maxMemory() // 2:
+        gc.collect()  # Python's references to plans go first
+        spark._jvm.java.lang.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it none of the frame's columns."""
     taken = {c.lower() for c in df.columns}
@@ -47,6 +60,7 @@ class Scratch:
         self.n += 1
         path = f"{self.top}/{self.n}"
         df.write.parquet(path)
+        tidy(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
         return out
@@ -57,6 +71,7 @@ class Scratch:
         name, path = f"tidemark_{self.top.rsplit('/', 1)[1]}_{self.n}", f"{self.top}/{self.n}"
         count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         df.write.bucketBy(count, key).option("path", path).saveAsTable(name)
+        tidy(self.spark)
         out = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")  # the name; the files stay, and ``out`` knows them
         out._tidemark_path = path
